@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-WINDOW = 256
+WINDOW = 128
 WIDTHS, FILTERS = (2, 4), 16
 #: Class 0 pads; letters without case, then one class for each of the groups below, then the bytes from 128.
 _CLASS = np.zeros(256, np.int64)
@@ -55,7 +55,7 @@ def windows_of(texts: Sequence[bytes], limit: int | None = None) -> tuple[np.nda
     return (np.concatenate(rows), np.concatenate(of)) if rows else (np.empty((0, WINDOW), np.uint8), np.empty(0, int))
 
 
-def train(texts: Sequence[bytes], labels: Sequence[str], epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: Sequence[bytes], labels: Sequence[str], epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam on the cross entropy. Besides whole windows it sees beginnings of random length, so short texts are at home too."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
@@ -169,7 +169,7 @@ def training_rows(docs: DataFrame, per_language: int, max_languages: int, id_col
     return [(r["text"].encode(), r["lang"]) for r in got]
 
 
-def identified(docs: DataFrame, per_language: int = 600, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
+def identified(docs: DataFrame, per_language: int = 400, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
     """The rows of `docs`, or of them the columns `carry`, with held_out, lang_pred and score.
 
     lang_pred is a language seen in training; `und` with score 0 where the text is null or has no letter, and for all rows where there is
