@@ -102,8 +102,8 @@ def _alike(x: np.ndarray, bits: int, min_shared: int) -> np.ndarray:
     return near
 
 
-def _forest(fps: np.ndarray, side: np.ndarray | None, bits: int, min_shared: int) -> tuple[list, list]:
-    """Spanning links of a list; with sides, of the links between them and within."""
+def _forest(fps: np.ndarray, bits: int, min_shared: int) -> tuple[list, list]:
+    """Spanning links of a posting list."""
     fps = np.unique(fps)
     a, b = [], []
     unseen = fps
@@ -130,7 +130,6 @@ def links(classes: DataFrame, n: int, bits: int = 4, list_limit: int = 1 << 17)
     tuples = [reduce(lambda k, p: F.shiftleft(k, 8).bitwiseOR(byte(p)), c, F.lit(i).cast("long")) for i, c in enumerate(design(min_shared))]
     postings = classes.select("fp", F.explode(F.array(*tuples)).alias("key"))
     if n > list_limit:
-        hot = classes.sparkSession.createDataFrame([], "key long, blocks int")
         counts = postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_limit)
         hot = counts.select("key", F.ceil(2 * F.col("n") / list_limit).cast("int").alias("blocks"))
         postings = postings.join(small(hot, len(tuples) * n // list_limit, 24), "key", "left")
@@ -154,7 +153,7 @@ def links(classes: DataFrame, n: int, bits: int = 4, list_limit: int = 1 << 17)
             a.append(fp[hit])
             b.append(fp[hit + 1])
             for s, m in zip(start[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                x, y = _forest(fp[s : s + m], None, bits, min_shared)
+                x, y = _forest(fp[s : s + m], bits, min_shared)
                 a += x
                 b += y
             a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
@@ -221,5 +220,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is that of their component; of rows that repeat that id, each stays."""
+    scratch = Scratch(docs.sparkSession, "simhash-heads")
     heads = near_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
-    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
+    heads = scratch.written(heads, "heads")
+    return docs.join(small(heads, heads.count(), 16), F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
