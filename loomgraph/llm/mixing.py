@@ -55,7 +55,7 @@ def balanced(cells: DataFrame, targets: dict, cap: float, steps: int = 50, toler
     raise RuntimeError("the dual did not settle")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket: int = 1 << 15, max_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket: int = 1 << 12, max_sources: int = 100_000) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, copies, and _text_hash.
 
     size: words of the text, null and empty texts have none and are never needed. Sources in order of code points, null
