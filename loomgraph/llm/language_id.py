@@ -156,6 +156,10 @@ def training_rows(docs: DataFrame, per_language: int, max_languages: int, id_col
     Only documents whose crc32(id as text) mod 3 is not 1 take part. The first pass reads ids and languages alone.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    held = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages).collect()
+    # the smallest hashes of a large language all lie below twice their expected place, so few rows reach the window
+    below = F.create_map(*[F.lit(x) for r in held for x in (r["lang"], 2.0**64 * min(1.0, (2 * per_language + 64) / r["n"]) - 2.0**63)])[F.col("lang")] if held else F.lit(0.0)
+    ids = ids.where(F.xxhash64("id") <= below)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = ids.distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).limit(per_language * max_languages).collect()
     if not chosen:
