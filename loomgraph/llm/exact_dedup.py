@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import WS, Scratch, small
 
-KEY = "_key"
+KEY = "_dedup_key"
 
 
 def normalised(text: Column) -> Column:
@@ -65,7 +65,7 @@ class HashIndex:
         self.scratch = Scratch(spark, "exact-dedup")
         norm = normalised(F.col(text_col))
         self.texts = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"))
-        self.rows = self.scratch.written(self.texts.select("_id", F.xxhash64("_norm").alias(KEY), F.sha2("_norm", 256).alias("_sha")), "rows")
+        self.rows = self.scratch.written(self.texts.select("_id", F.xxhash64("_norm").alias(KEY), F.sha2("_norm", 256).alias("_dedup_sha")), "rows")
         entries = self.scratch.written(self.rows.groupBy(KEY).agg(F.count("*").alias("n"), F.min("_id").alias("first")), "entries")
         n = entries.count()
         cells, depth = directory(entries, n, capacity)
@@ -85,8 +85,8 @@ class HashIndex:
         candidates = self.texts.withColumn(KEY, F.xxhash64("_norm")).join(small(self.repeated, self.n_repeated, 16), KEY, "left_semi")
         # grouping by the text itself compares bytes; copies that one task reads leave it as one row
         texts = candidates.groupBy(KEY, "_norm").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-        texts = self.scratch.written(texts.select(KEY, F.sha2("_norm", 256).alias("_sha"), F.xxhash64(F.concat(F.lit("\x01"), "_norm")).alias("_second"), "keep_id", "group_size"), "chains")
-        order = Window.partitionBy(KEY).orderBy(F.col("keep_id").asc_nulls_last(), "_sha", "_second")
+        texts = self.scratch.written(texts.select(KEY, F.sha2("_norm", 256).alias("_dedup_sha"), F.xxhash64(F.concat(F.lit("\x01"), "_norm")).alias("_second"), "keep_id", "group_size"), "chains")
+        order = Window.partitionBy(KEY).orderBy(F.col("keep_id").asc_nulls_last(), "_dedup_sha", "_second")
         return texts.withColumn("link", F.row_number().over(order)).drop("_second")
 
 
@@ -100,9 +100,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = HashIndex(docs, id_col, text_col, capacity)
     links = index.chains()
     alone = index.rows.join(small(index.repeated, index.n_repeated, 16), KEY, "left_anti")
-    alone = alone.select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("_sha").alias("text_sha256"))
-    many = index.rows.join(small(links, index.n_repeated, 120), [KEY, "_sha"])
-    many = many.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_sha").alias("text_sha256"))
+    alone = alone.select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("_dedup_sha").alias("text_sha256"))
+    many = index.rows.join(small(links, index.n_repeated, 120), [KEY, "_dedup_sha"])
+    many = many.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_dedup_sha").alias("text_sha256"))
     return alone.unionByName(many).select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -112,12 +112,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = normalised(F.col(text_col))
     keyed = docs.withColumn(KEY, F.xxhash64(norm))
     alone = keyed.join(small(index.repeated, index.n_repeated, 16), KEY, "left_anti").drop(KEY)
-    kept = index.chains().select(F.col("_sha").alias("_kept_sha"), F.col("keep_id").alias("_kept_id"), F.col(KEY).alias("_kept_key"))
-    heads = keyed.withColumn("_sha", F.sha2(norm, 256)).join(small(index.repeated, index.n_repeated, 16), KEY, "left_semi")
-    match = (F.col(KEY) == F.col("_kept_key")) & (F.col("_sha") == F.col("_kept_sha")) & F.col(id_col).eqNullSafe(F.col("_kept_id"))
+    kept = index.chains().select(F.col("_dedup_sha").alias("_dedup_kept_sha"), F.col("keep_id").alias("_dedup_kept_id"), F.col(KEY).alias("_dedup_kept_key"))
+    heads = keyed.withColumn("_dedup_sha", F.sha2(norm, 256)).join(small(index.repeated, index.n_repeated, 16), KEY, "left_semi")
+    match = (F.col(KEY) == F.col("_dedup_kept_key")) & (F.col("_dedup_sha") == F.col("_dedup_kept_sha")) & F.col(id_col).eqNullSafe(F.col("_dedup_kept_id"))
     heads = heads.join(small(kept, index.n_repeated, 120), match, "left_semi")
     # rows that repeat the kept id and text are alike in both, so any one of them stays
-    return alone.unionByName(heads.dropDuplicates([KEY, "_sha"]).drop(KEY, "_sha"))
+    return alone.unionByName(heads.dropDuplicates([KEY, "_dedup_sha"]).drop(KEY, "_dedup_sha"))
 
 
 ORACLE = r"""

@@ -197,6 +197,7 @@ def identified(docs: DataFrame, per_language: int = 400, max_languages: int = 20
 
     lettered = F.when(F.col(text_col).rlike("\\p{L}"), F.col(text_col).cast("binary"))
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-    kept = docs.select(*(docs.columns if carry is None else carry), held_out.alias("held_out"), lettered.alias("_bytes"))
+    own = {"held_out", "lang_pred", "score", "_bytes"}  # these columns of the input give way to the answer's
+    kept = docs.select(*(c for c in (docs.columns if carry is None else carry) if c.lower() not in own), held_out.alias("held_out"), lettered.alias("_bytes"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")

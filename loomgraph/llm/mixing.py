@@ -55,6 +55,30 @@ def balanced(cells: DataFrame, targets: dict, cap: float, steps: int = 50, toler
     raise RuntimeError("the dual did not settle")
 
 
+def diffused(sizes: np.ndarray, part: float, few: int = 512) -> np.ndarray:
+    """0 or 1 for each size, in falling order, so that the chosen ones add up to about `part` of all.
+
+    What a choice leaves over goes to the next. Among a few documents that leaves a noticeable rest, so there a choice, or an
+    exchange of one for another, is changed as long as the rest shrinks.
+    """
+    owed, out = 0.0, np.zeros(len(sizes), np.int64)
+    for i, n in enumerate(sizes.tolist()):
+        owed += part * n
+        if part and 2 * owed >= n:
+            owed -= n
+            out[i] = 1
+    for _ in range(8 if part and len(sizes) <= few else 0):
+        change = np.where(out == 1, -sizes, sizes).astype(float)
+        both = np.where((out[:, None] == 1) & (out[None, :] == 0), change[:, None] + change[None, :], np.inf)
+        one, two = np.abs(owed - change), np.abs(owed - both)
+        if min(one.min(), two.min()) >= abs(owed):
+            break
+        flip = [int(one.argmin())] if one.min() <= two.min() else list(np.unravel_index(int(two.argmin()), two.shape))
+        owed -= change[flip].sum()
+        out[flip] = 1 - out[flip]
+    return out
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket: int = 1 << 12, max_sources: int = 100_000) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, copies, and _text_hash.
 
@@ -88,12 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
         g = g.sort_values(["size", "id", "_text_hash"], ascending=[False, True, True], ignore_index=True)
         rate = float(g["rate"].iloc[0])
         base = math.floor(rate + 1e-9)
-        part, owed, copies = max(0.0, rate - base), 0.0, np.full(len(g), base, np.int64)
-        for i, n in enumerate(g["size"].tolist()):
-            owed += part * n
-            if part and 2 * owed >= n:
-                owed -= n
-                copies[i] += 1
+        copies = base + diffused(g["size"].to_numpy(), max(0.0, rate - base))
         g["copies"], g["taken"] = copies, copies * g["size"]
         return g[["id", "_text_hash", "size", "source_size", "target", "taken", "copies"]]
 
@@ -105,8 +124,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.
     """The rows of `docs` as often as the mix takes them; rows alike in id and text are taken alike, as often as the first of them."""
     scratch = Scratch(docs.sparkSession, "mixed")
     plan = mix(docs, weights, cap, id_col, text_col, source_col).where("copies > 0")
-    plan = scratch.written(plan.groupBy(F.col(id_col).alias("_mix_id"), "_text_hash").agg(F.max("copies").alias("_copies")), "copies")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_key") == F.col("_text_hash"))
+    plan = scratch.written(plan.groupBy(F.col(id_col).alias("_mix_id"), F.col("_text_hash").alias("_mix_hash")).agg(F.max("copies").alias("_mix_copies")), "copies")
+    keyed = docs.withColumn("_mix_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_key") == F.col("_mix_hash"))
     taken = keyed.join(small(plan, plan.count(), 40), on)
-    return taken.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return taken.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")

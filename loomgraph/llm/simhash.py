@@ -221,6 +221,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is that of their component; of rows that repeat that id, each stays."""
     scratch = Scratch(docs.sparkSession, "simhash-heads")
-    heads = near_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
+    heads = near_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_simhash_head")).distinct()
     heads = scratch.written(heads, "heads")
-    return docs.join(small(heads, heads.count(), 16), F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
+    return docs.join(small(heads, heads.count(), 16), F.col(id_col).eqNullSafe(F.col("_simhash_head")), "left_semi")
