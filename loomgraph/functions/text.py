@@ -51,7 +51,7 @@ def bengali_to_int(s: Column) -> Column:
 
 
 def _kept(parts: Column) -> Column:
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def sentences_bn(text: Column) -> Column:
@@ -141,7 +141,7 @@ def highlighted(text: Column, part: Column) -> Column:
 def distinct_queries(queries: Column, most: int = 4) -> Column:
     """Trimmed, first of those alike without case, at most `most`."""
     q = _kept(queries)
-    lower = F.transform(q, F.lower)
+    lower = F.transform(q, lambda x: F.lower(x))
     return F.slice(F.filter(q, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1), 1, most)
 
 

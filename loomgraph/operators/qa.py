@@ -70,9 +70,10 @@ def lexical_score(query: Column, text: Column) -> Column:
 
 def plans(raw: DataFrame, question: str = "question", output: str = "raw", offered: str = "offered", lang: str | None = None) -> DataFrame:
     """(…, ok, queries, concepts, bridge_note, lang) from model output; broken output gives a plan that is not ok."""
-    p = jsonx.parsed_plan(F.col(output))
+    raw = raw.withColumn("_plan", jsonx.parsed_plan(F.col(output)))
+    p = F.col("_plan")
     q = T.distinct_queries(F.coalesce(p["timeless_queries"], F.array().cast("array<string>")))
-    return raw.withColumns({"ok": p.isNotNull(), "queries": q, "concepts": T.offered_labels(F.coalesce(p["concepts"], F.array().cast("array<string>")), F.col(offered)), "bridge_note": F.substring(F.coalesce(F.trim(p["bridge_note"]), F.lit("")), 1, 300), "lang": T.detect_lang(F.col(question))})
+    return raw.withColumns({"ok": p.isNotNull(), "queries": q, "concepts": T.offered_labels(F.coalesce(p["concepts"], F.array().cast("array<string>")), F.col(offered)), "bridge_note": F.substring(F.coalesce(F.trim(p["bridge_note"]), F.lit("")), 1, 300), "lang": T.detect_lang(F.col(question))}).drop("_plan")
 
 
 def packed(blocks: DataFrame, keys: list[str], order: list, length: Column, budget: Column) -> DataFrame:
