@@ -126,6 +126,7 @@ def test_mix_query(spark):
     assert (abs(by.taken - by.target) <= np.maximum(0.02 * by.target, 30)).all()
 
 
+@settings(deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1000), st.sampled_from([5, 2, 1])), min_size=1, max_size=12))
 def test_water_filling(rows):
     sizes, weights = zip(*rows)
@@ -135,7 +136,7 @@ def test_water_filling(rows):
     assert not free or max(free) - min(free) < 1e-6
 
 
-@settings(max_examples=60)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=40))
 def test_best_fit_and_bounds(lengths):
     x = np.array(lengths)
@@ -157,7 +158,7 @@ def test_best_fit_and_bounds(lengths):
     assert len(fills) == reference
 
 
-@settings(max_examples=200)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab .,'\n\t\u00a0é日1²_-🙂\u2003\x1c") + ["s"]), max_size=40))
 def test_chunked_ids_are_the_tokenizers(text):
     import public_tokenizers
@@ -171,7 +172,7 @@ def test_chunked_ids_are_the_tokenizers(text):
     assert packing.encoder(path).ids(text) == np.array(want, "<u4").tobytes()
 
 
-@settings(max_examples=60)
+@settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunked_framing(data, size):
     assert warc.unchunked(warc.chunked(data, size)) == data
