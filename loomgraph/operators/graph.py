@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_root
+
 
 def upsert_max(edges: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
     """One row per key with the largest weight: what repeated inserts that keep the maximum leave."""
@@ -113,6 +115,9 @@ def remapped(edges: DataFrame, mapping: DataFrame, key: str, keys: list[str]) ->
 
 def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) by hooking to the least neighbour and jumping; a reliable checkpoint cuts the lineage each round. pairs: a, b."""
+    spark = pairs.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # the cluster's shared folder, or our own where none is named
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/components")
     links = pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct().checkpoint()
     for _ in range(max_rounds):
         least = links.groupBy("hi").agg(F.min("lo").alias("root"))

@@ -55,11 +55,11 @@ def extracted(texts: DataFrame, make: Callable[[], Generator], prompt: Callable[
 
 def hashed_vectors(text: Column, dim: int = 64) -> Column:
     """Deterministic stand-in for an encoder: counts of hashed words, normalised. It carries no meaning."""
-    from .vectors import l2_normalised
+    from .vectors import bound, l2_normalised
 
     slots = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return l2_normalised(counts)
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double"))
+    return l2_normalised(bound(slots, counts))
 
 
 def lexical_score(query: Column, text: Column) -> Column:

@@ -7,6 +7,7 @@ queries use 0.30 for edges and 0.40 for merges.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,10 +19,12 @@ from ..operators import graph as G
 from ..operators import hierarchy as H
 from ..operators import qa as Q
 from ..operators import retrieve as R
+from ..operators import study as S
 from ..operators import vectors as V
 from ..operators import warm as W
-from ..sources import html
+from ..sources import html, store
 from ..streaming import events as E
+from . import build as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +63,11 @@ def first_vector(spark: SparkSession, d: str) -> list[float]:
     return list(vectors(spark, d).where("id = 0").select("vec").first()[0])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{store.shared_root(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+
+
 # counts
 
 
@@ -588,9 +596,7 @@ def event_dedupe(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def event_microbatch(spark, d):
-    import uuid
-
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir', '/tmp/loomgraph')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     source = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     E.microbatches(source, lambda b: b.groupBy("event_type").agg(F.count("*").alias("n")), f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
@@ -605,3 +611,121 @@ def html_blocks(spark, d):
 def html_clean(spark, d):
     page, counts = html.cleaned(F.col("html"))
     return t(spark, d, "pages").select("page_id", counts["comments"].alias("comments"), F.md5(page).alias("digest"))
+
+
+# concept look-ups, merges and lists
+
+
+@query(f"WITH e AS (SELECT *, row_number() OVER (ORDER BY weight DESC, dst) AS rank FROM ({CO}) WHERE src = 1), p AS (SELECT o_orderstatus AS lang, paragraph, w, row_number() OVER (PARTITION BY o_orderstatus ORDER BY w DESC, paragraph) AS rank FROM (SELECT paragraph, max(weight) AS w FROM ({PC}) WHERE concept = 1 GROUP BY paragraph) JOIN orders ON o_orderkey = paragraph) SELECT 'neighbor' AS kind, dst AS id, NULL AS lang, round(weight, 6) AS weight, rank FROM e WHERE rank <= 12 UNION ALL SELECT 'paragraph', paragraph, lang, round(w, 6), rank FROM p WHERE rank <= 5")
+def concept_neighborhood(spark, d):
+    p = t(spark, d, "orders").select(F.col("o_orderkey").alias("paragraph"), F.col("o_orderstatus").alias("lang"))
+    near, best = S.neighborhood(concept_edges(spark, d), edges(spark, d), p, 1)
+    near = near.select(F.lit("neighbor").alias("kind"), F.col("dst").alias("id"), F.lit(None).cast("string").alias("lang"), F.round("weight", 6).alias("weight"), "rank")
+    return near.unionByName(best.select(F.lit("paragraph").alias("kind"), F.col("paragraph").alias("id"), "lang", F.round("weight", 6).alias("weight"), "rank"))
+
+
+@query(f"SELECT id AS concept, 'row ' || id || ' of ' || label AS label, round(list_inner_product(v, (SELECT v FROM ({X}) WHERE id = 0)), 6) AS score FROM ({X}) ORDER BY score DESC, id LIMIT 15")
+def search_concepts(spark, d):
+    v = vectors(spark, d)
+    names = v.select(F.col("id").alias("concept"), F.format_string("row %d of %d", "id", "label").alias("label"))
+    return S.labelled(V.top_k(v, first_vector(spark, d), 15).select(F.col("id").alias("concept"), F.round("score", 6).alias("score")), names)
+
+
+@query("SELECT p_partkey AS concept, p_name AS label FROM part WHERE contains(lower(p_name), 'an')")
+def label_search(spark, d):
+    return S.matching(t(spark, d, "part").select(F.col("p_partkey").alias("concept"), F.col("p_name").alias("label")), "AN")
+
+
+ALIASES = "SELECT l_suppkey AS concept, l_returnflag AS lang, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey AS VARCHAR) AS alias FROM lineitem"
+
+
+def alias_rows(spark, d):
+    return t(spark, d, "lineitem").select(F.col("l_suppkey").alias("concept"), F.col("l_returnflag").alias("lang"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").cast("string").alias("alias"))
+
+
+@query(f"SELECT concept, lang, string_agg(alias, ',' ORDER BY n) AS aliases FROM (SELECT *, row_number() OVER (PARTITION BY concept, lang ORDER BY id, alias) AS n FROM ({ALIASES})) WHERE n <= 3 GROUP BY concept, lang")
+def concept_aliases(spark, d):
+    return S.first_aliases(alias_rows(spark, d)).withColumn("aliases", F.array_join("aliases", ","))
+
+
+INTO = "CASE WHEN {0} % 10 = 3 AND {0} + 1 IN (SELECT s_suppkey FROM supplier) THEN {0} + 1 ELSE {0} END"
+
+
+@query(f"WITH a AS (SELECT {INTO.format('concept')} AS concept, lang, alias FROM ({ALIASES}) UNION SELECT s_suppkey + 1, 'en', s_name FROM supplier WHERE {INTO.format('s_suppkey')} <> s_suppkey), p AS (SELECT DISTINCT paragraph, {INTO.format('concept')} AS concept, relation FROM ({PC})), e AS (SELECT DISTINCT {INTO.format('src')} AS src, {INTO.format('dst')} AS dst FROM ({CO})) SELECT s_suppkey AS concept, s_name AS label, (SELECT count(*) FROM p WHERE p.concept = s_suppkey) AS n_mentions, (SELECT count(*) FROM a WHERE a.concept = s_suppkey) AS n_aliases, (SELECT count(*) FROM e WHERE src = s_suppkey AND dst <> src) AS n_edges FROM supplier WHERE {INTO.format('s_suppkey')} = s_suppkey")
+def merge_concepts(spark, d):
+    """Suppliers whose key ends in 3 go into the next one."""
+    concepts = t(spark, d, "supplier").select(F.col("s_suppkey").alias("concept"), F.col("s_name").alias("label"))
+    mapping = concepts.where("concept % 10 = 3").select(F.col("concept").alias("member"), (F.col("concept") + 1).alias("survivor"))
+    mapping = mapping.join(concepts.select(F.col("concept").alias("survivor")), "survivor", "left_semi")
+    kept, aliases, _, moved = S.merged(concepts, alias_rows(spark, d), edges(spark, d), concept_edges(spark, d), mapping)
+    n = lambda x, key, out: x.groupBy(F.col(key).alias("concept")).agg(F.count("*").alias(out))
+    out = kept.join(n(aliases, "concept", "n_aliases"), "concept", "left").join(n(moved, "src", "n_edges"), "concept", "left")
+    return out.select("concept", "label", "n_mentions", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+@query("SELECT o_custkey AS chapter, string_agg(o_orderpriority, '||' ORDER BY o_orderkey) AS notes FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 <> 0 GROUP BY o_custkey HAVING count(*) >= 2")
+def chapter_notes(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("chapter"), F.col("o_orderkey").alias("paragraph_idx"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("summary"))
+    return S.chapter_notes(o, o.where("chapter % 7 = 0"))
+
+
+@query("SELECT o_custkey AS chapter, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY o_custkey HAVING count(*) >= 2")
+def chapter_members(spark, d):
+    return S.members(t(spark, d, "orders").select(F.col("o_custkey").alias("chapter"), "o_orderkey"), "chapter", "o_orderkey").withColumn("items", F.array_join("items", ","))
+
+
+@query()
+def edge_sample(spark, d):
+    """200 edges in the repeatable shuffled order."""
+    e = edges(spark, d).withColumn("edge", F.concat_ws("/", "paragraph", "concept", "relation"))
+    return S.sampled(e, "edge", 200).select("paragraph", "concept", "relation", "weight")
+
+
+ANSWERS = "SELECT role, turn, CASE WHEN turn < 6 THEN coalesce(text, '') || ' [' || (turn + 1) || '][9]' END AS x FROM conversations"
+
+
+@query(rf"WITH a AS (SELECT role, x, turn / 10.0::DOUBLE AS cross_share, list_transform(regexp_extract_all(x, '\[(\d+)\]', 1), lambda v: v::INT) AS c, greatest(len(list_filter(string_split_regex(x, '[.!?।]+'), lambda v: trim(v, ' ' || chr(10)) <> '')), 1) AS s FROM ({ANSWERS})) SELECT count(*) AS n, count(x) AS n_answered, round(avg((role <> 'assistant')::INT), 6) AS fallback_rate, round(avg(len(c)::DOUBLE / s) FILTER (x IS NOT NULL), 6) AS citations_per_sentence, coalesce(sum(len(c)) FILTER (x IS NOT NULL), 0)::BIGINT AS citations, round(sum(len(list_filter(c, lambda v: NOT v BETWEEN 1 AND 3))) FILTER (x IS NOT NULL)::DOUBLE / sum(len(c)) FILTER (x IS NOT NULL), 6) AS invalid_rate, round(avg(cross_share), 6) AS cross_share FROM a")
+def qa_integrity(spark, d):
+    x = F.when(F.col("turn") < 6, F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("][9]")))
+    a = t(spark, d, "conversations").select(x.alias("answer"), F.lit(3).alias("n_sources"), (F.col("turn") / 10.0).alias("cross_share"), (F.col("role") == "assistant").alias("ok"))
+    r = S.integrity(a)
+    return r.select("n", "n_answered", "citations", *[F.round(c, 6).alias(c) for c in ("fallback_rate", "citations_per_sentence", "invalid_rate", "cross_share")])
+
+
+# tables, sheets and the whole build
+
+
+@query(f"SELECT label::VARCHAR AS lang, count(*) AS n, round(sum(list_sum(v)), 4) AS total FROM ({X}) WHERE label <> 3 GROUP BY label UNION ALL SELECT '3', count(*), round(2 * sum(list_sum(v)), 4) FROM ({X}) WHERE label = 3")
+def vector_store(spark, d):
+    """All vectors written by language, those of one language replaced by their doubles, all read back."""
+    s = store.Store(spark, scratch(spark, "vectors"))
+    v = vectors(spark, d).select(F.col("id").alias("node"), V.as_double(F.col("vec")).alias("vec"), F.lit("paragraph").alias("node_kind"), F.col("label").cast("string").alias("lang"))
+    s.write_vectors(v)
+    s.write_vectors(v.where("lang = '3'").withColumn("vec", F.transform("vec", lambda x: x * 2)))
+    total = F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x))
+    return s.vectors("paragraph").groupBy("lang").agg(F.count("*").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT doc_id AS item_id, lang, md5(substr(text, 1, 1200)) AS digest FROM documents")
+def annotation_sheet(spark, d):
+    at = scratch(spark, "sheet")
+    store.write_sheet(t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "lang", F.col("text").alias("paragraph_text")), at)
+    return store.read_sheet(spark, at, "item_id long, lang string, paragraph_text string").select("item_id", "lang", F.md5("paragraph_text").alias("digest"))
+
+
+@query("SELECT u AS user, count(*) AS n_judged, sum(j)::BIGINT AS n_yes, (SELECT CAST(min(doc_id) AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS next_item FROM (SELECT 'a' AS u, quality AS j FROM labels UNION ALL SELECT 'b', toxic FROM labels) GROUP BY u")
+def judgment_progress(spark, d):
+    at, x = scratch(spark, "judgments"), t(spark, d, "labels")
+    item = F.col("doc_id").cast("string").alias("item")
+    rows = x.select(F.lit("a").alias("user"), item, F.col("quality").alias("judgment")).unionByName(x.select(F.lit("b").alias("user"), item, F.col("toxic").alias("judgment")))
+    store.write_judgments(rows, at)
+    back = store.read_judgments(spark, at)
+    yes = back.groupBy("user").agg(F.sum("judgment").alias("n_yes"))
+    return store.progress(t(spark, d, "documents").select(F.col("doc_id").alias("item")), back).join(yes, "user")
+
+
+@query()
+def build_stats(spark, d):
+    """The whole build over documents, with the stand-in models."""
+    lines = H.paragraphs(t(spark, d, "documents")).select("lang", F.col("source").alias("volume"), F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("chapter"), F.col("doc_id").alias("chapter_key"), "paragraph_idx", "text")
+    return B.build(store.Store(spark, scratch(spark, "build")), B.paragraph_rows(lines))
