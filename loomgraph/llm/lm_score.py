@@ -4,9 +4,12 @@
    them to owner segments, so that a frequent word is one entry per run.
 2. An owner task merges its segment's runs: exact counts of all words, and its segment of the filter. A count c is the level
    floor(log2(c / floor)) + 1, and an n-gram is entered once for each level up to its own. Each segment has a fixed number of bits; `floor`
-   is the smallest power of two whose entries fit in it, so the filter has a fixed largest size however many n-grams there are.
+   (of words) and `pair_floor` are the smallest powers of two whose entries fit in it, so the filter has a fixed largest size however many n-grams there are.
 3. The filter is broadcast. A level is read by probing level after level until one is absent; the probability of a word is
    (1 - weight) P(word) + weight min(c(previous, word), c(previous)) / c(previous), with the add-one estimate P(word) of levels' mean counts.
+   A pair that a floor may have left out (level 0 or 1 of a segment with a pair_floor above 1) is asked for: it is sent to its owner segment, which
+   also holds the octaves of all counts below twice the floor, and the answer is added to the document's score. Where words have
+   a floor too, those it may have left out are first joined by hash with the counts. So no n-gram is lost at any size.
 4. The base score needs exact counts: the most frequent words' are broadcast, bounded in number, and those of the
    other words of each document are joined by hash in Spark.
 
@@ -120,8 +123,12 @@ def _positions(keys: np.ndarray, kind: int, level: np.ndarray | int, probe: int,
 
 
 def merged_segments(sorted_runs: DataFrame, bits: int) -> DataFrame:
-    """Owner tasks: (segment, floor, filter) per segment and (hash, n) per word, as one table with nulls."""
-    schema = pa.schema([("segment", pa.int32()), ("floor", pa.int64()), ("filter", pa.binary()), ("hash", pa.int64()), ("n", pa.int64())])
+    """Owner tasks: (segment, floor, pair_floor, filter) per segment, (hash, n) per word, and where pair_floor is above 1
+    (segment, pairs, octaves) of all pairs below twice that count; one table with nulls."""
+    schema = pa.schema([("segment", pa.int32()), ("floor", pa.int64()), ("pair_floor", pa.int64()), ("filter", pa.binary()), ("hash", pa.int64()), ("n", pa.int64()), ("pairs", pa.binary()), ("octaves", pa.binary())])
+
+    def of(rows: int, /, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, held = None, {0: [], 1: []}
@@ -133,27 +140,34 @@ def merged_segments(sorted_runs: DataFrame, bits: int) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             grams = [compact(0), compact(1)]
-            # the smallest floor whose entries leave the filter sparse enough
-            floor = 1
-            while True:
-                entries = sum(int((np.log2(c[c >= floor] / floor).astype(np.int64) + 1).sum()) for _, c in grams)
-                if entries * 8 <= bits or floor > 1 << 40:
-                    break
-                floor *= 2
+            # the smallest floors whose entries leave the filter sparse enough; words take half of it at most
+            floors, used = [], 0
+            for (_, c), most in zip(grams, (bits // 16, bits // 8)):
+                floor = 1
+                while True:
+                    entries = int((np.log2(c[c >= floor] / floor).astype(np.int64) + 1).sum())
+                    if used + entries <= most or floor > 1 << 40:
+                        break
+                    floor *= 2
+                floors.append(floor)
+                used += entries
             mask = np.zeros(bits, np.uint8)
-            for kind, (keys, counts) in enumerate(grams):
+            for kind, ((keys, counts), floor) in enumerate(zip(grams, floors)):
                 keys, counts = keys[counts >= floor], counts[counts >= floor]
                 top = np.log2(counts / floor).astype(np.int64) + 1
                 for level in range(1, int(top.max(initial=0)) + 1):
                     k = keys[top >= level]
                     for probe in range(PROBES):
                         mask[_positions(k, kind, level, probe, bits)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([floor]), pa.array([np.packbits(mask, bitorder="little").tobytes()]), pa.array([None], pa.int64()), pa.array([None], pa.int64())], schema=schema)
+            yield of(1, segment=pa.array([segment]), floor=pa.array(floors[:1]), pair_floor=pa.array(floors[1:]), filter=pa.array([np.packbits(mask, bitorder="little").tobytes()]))
+            if floors[1] > 1:
+                keys, counts = grams[1]
+                low = counts < 2 * floors[1]
+                yield of(1, segment=pa.array([segment]), pairs=pa.array([keys[low].tobytes()]), octaves=pa.array([np.log2(counts[low]).astype(np.uint8).tobytes()]))
             words, counts = grams[0]
             for i in range(0, len(words), 50_000):
                 k = words[i : i + 50_000]
-                none = pa.nulls(len(k), pa.int64())
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none, pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(counts[i : i + 50_000])], schema=schema)
+                yield of(len(k), hash=pa.array(k.view(np.int64)), n=pa.array(counts[i : i + 50_000]))
 
         for b in rows:
             for s, kind, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
@@ -167,7 +181,7 @@ def merged_segments(sorted_runs: DataFrame, bits: int) -> DataFrame:
         if segment is not None:
             yield from done()
 
-    return sorted_runs.mapInArrow(own, "segment int, floor long, filter binary, hash long, n long")
+    return sorted_runs.mapInArrow(own, "segment int, floor long, pair_floor long, filter binary, hash long, n long, pairs binary, octaves binary")
 
 
 class CountFilter:
@@ -175,10 +189,10 @@ class CountFilter:
 
     def __init__(self, segments: int, bits: int, rows: list):
         self.shift, self.bits = np.uint64(64 - int(math.log2(segments))), bits
-        self.floors = np.ones(segments, np.int64)
+        self.floors, self.pair_floors = np.ones(segments, np.int64), np.ones(segments, np.int64)
         self.bytes = np.zeros(segments * bits // 8, np.uint8)
         for r in rows:
-            self.floors[r["segment"]] = r["floor"]
+            self.floors[r["segment"]], self.pair_floors[r["segment"]] = r["floor"], r["pair_floor"]
             at = r["segment"] * bits // 8
             self.bytes[at : at + bits // 8] = np.frombuffer(r["filter"], np.uint8)
 
@@ -197,11 +211,142 @@ class CountFilter:
             level += 1
         return out
 
-    def counts(self, keys: np.ndarray, kind: int, means: np.ndarray) -> np.ndarray:
-        """Estimated counts: the mean count of words in the level's octave, scaled by the segment's floor; 0 if absent."""
+    def octaves(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Octaves of the counts: ABSENT, or ASK where the count may lie below the segment's floor."""
         level = self.levels(keys, kind)
-        octave = np.log2(self.floors[keys >> self.shift]).astype(np.int64) + level - 1
-        return np.where(level > 0, means[np.clip(octave, 0, len(means) - 1)], 0.0)
+        floors = (self.pair_floors if kind else self.floors)[keys >> self.shift]
+        octave = np.minimum(np.log2(floors).astype(np.int64) + level - 1, 63)
+        return np.where((floors > 1) & (level <= 1), ASK, np.where(level > 0, octave, ABSENT))
+
+
+#: Octave codes next to 0 to 63: the count of beginnings, none, and not known from the filter. `estimates` ends with the first two.
+BEGUN, ABSENT, ASK = 64, 65, 255
+#: Rows of a packed table (kind 0: keys and octaves of a segment), of questions (kind 1) and of answers (kind 2: rows and logs).
+PACKED = "segment int, kind int, base long, keys binary, rows binary, octaves binary"
+_PACKED = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("octaves", pa.binary())])
+
+
+def packed_questions(shift: np.uint64, base: int, pairs: np.ndarray, rows: np.ndarray, octaves: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Questions by owner segment: pair, row within the block that starts at `base`, octaves of word, history and pair."""
+    order = np.argsort(pairs)
+    pairs, rows, octaves = pairs[order], rows[order].astype("<u2"), octaves[order].astype(np.uint8)
+    of = (pairs >> shift).astype(np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(pairs)]]).tolist()
+    for i in range(0, len(cuts) - 1, 64):
+        part = [(a, b) for a, b in zip(cuts[i : i + 64], cuts[i + 1 : i + 65]) if b > a]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([of[a] for a, _ in part], pa.int32()), pa.array([1] * len(part), pa.int32()), pa.array([base] * len(part), pa.int64()),
+            pa.array([pairs[a:b].tobytes() for a, b in part], pa.binary()), pa.array([rows[a:b].tobytes() for a, b in part], pa.binary()), pa.array([octaves[a:b].tobytes() for a, b in part], pa.binary()),
+        ], schema=_PACKED)
+
+
+def probability(word: np.ndarray, history: np.ndarray, both: np.ndarray, denominator: float, weight: float) -> np.ndarray:
+    """The word's probability from estimated counts of the word, of the one before it and of the two."""
+    p = (word + 1) / denominator
+    return np.where(history > 0, (1 - weight) * p + weight * np.minimum(both, history) / np.maximum(history, 1), p)
+
+
+def answered(questions: DataFrame, tables: DataFrame, estimates: np.ndarray, denominator: float, weight: float) -> DataFrame:
+    """Answers per block of rows. Rows of `questions` with a negative segment pass through; all others go to the owners' tables."""
+    both = questions.unionByName(tables, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", "kind")
+    names = both.columns
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, octaves = None, np.empty(0, np.uint64), np.empty(0, np.uint8)
+        sums: dict[int, np.ndarray] = {}
+
+        def sent(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            for base, x in sums.items():
+                rows = np.flatnonzero(x)
+                one = {"kind": 2, "base": base, "rows": rows.astype("<u2").tobytes(), "octaves": x[rows].astype("<f4").tobytes()}
+                yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in schema], schema=schema)
+            sums.clear()
+
+        for b in batches:
+            own = b.column("segment").to_numpy() >= 0
+            if not own.all():
+                yield b.filter(pa.array(~own))
+            if not own.any():
+                continue
+            for s, kind, base, k, r, o in zip(*(b.filter(pa.array(own)).column(c).to_pylist() for c in _PACKED.names)):
+                k, o = np.frombuffer(k, np.uint64), np.frombuffer(o, np.uint8)
+                if kind == 0:
+                    at, keys, octaves = s, k, o
+                    continue
+                if s != at:
+                    at, keys, octaves = s, np.empty(0, np.uint64), np.empty(0, np.uint8)
+                o = o.reshape(-1, 3)
+                i = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                held = np.where(keys[i] == k, octaves[i], ABSENT) if len(keys) else np.full(len(k), ABSENT)
+                p = probability(estimates[o[:, 0]], estimates[o[:, 1]], estimates[np.where(o[:, 2] == ASK, held, o[:, 2])], denominator, weight)
+                r = np.frombuffer(r, "<u2")
+                x = np.bincount(r, np.log10(p))
+                if len(x) > len(sums.get(base, ())):
+                    x[: len(sums.get(base, ()))] += sums.get(base, 0)
+                    sums[base] = x
+                else:
+                    sums[base][: len(x)] += x
+            if sum(map(len, sums.values())) > 4_000_000:
+                yield from sent(b.schema)
+        if sums:
+            yield from sent(b.schema)
+
+    return both.mapInArrow(answer, both.schema).select(*names)
+
+
+def summed(answers: DataFrame) -> DataFrame:
+    """(row, asked): the sum of all answers for each document."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, np.zeros(1 << 16)
+
+        def done() -> pa.RecordBatch:
+            rows = np.flatnonzero(x)
+            return pa.RecordBatch.from_arrays([pa.array(at + rows), pa.array(x[rows])], names=["row", "asked"])
+
+        for b in batches:
+            for base, r, v in zip(*(b.column(c).to_pylist() for c in ("base", "rows", "octaves"))):
+                if base != at:
+                    if at is not None:
+                        yield done()
+                    at, x = base, np.zeros(1 << 16)
+                x[np.frombuffer(r, "<u2")] += np.frombuffer(v, "<f4")
+        if at is not None:
+            yield done()
+
+    parts = answers.select("base", "rows", "octaves").repartition("base").sortWithinPartitions("base")
+    return parts.mapInArrow(add, "row long, asked double")
+
+
+def linked_questions(out: DataFrame, words: DataFrame, shift: np.uint64) -> DataFrame:
+    """Questions of the tokens that wait for a word: the words' octaves are joined by hash."""
+    octave = F.floor(F.log2("n")).cast("short").alias("octave")
+    t = out.select("row", F.inline("links"))
+    for code, key in (("w", "word"), ("h", "before")):
+        known = t.where(F.col(code) != ASK)
+        got = t.where(F.col(code) == ASK).join(words.select(F.col("hash").alias(key), octave), key, "left").withColumn(code, F.coalesce("octave", F.lit(ABSENT)).cast("short"))
+        t = known.unionByName(got.select(*t.columns))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            row, pairs, w, h, p = (np.concatenate(c) for c in zip(*held))
+            base = row >> 16 << 16
+            for b in np.unique(base).tolist():
+                of = base == b
+                yield from packed_questions(shift, b, pairs[of].view(np.uint64), row[of] - b, np.stack([w[of], h[of], p[of]], axis=1))
+
+        for b in batches:
+            held.append(tuple(b.column(c).to_numpy() for c in ("row", "pair", "w", "h", "p")))
+            n += b.num_rows
+            if n >= 1_000_000:
+                yield from sent()
+                held, n = [], 0
+        if n:
+            yield from sent()
+
+    return t.select("row", "pair", "w", "h", "p").mapInArrow(pack, PACKED)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 28, top_words: int = 1 << 19, weight: float = 0.4) -> DataFrame:
@@ -235,45 +380,83 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filt
         least = r["octave"]
     frequent = words.where(F.col("n") >= F.lit(2**least)).toArrow() if least < 63 else pa.table({"hash": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     top = np.sort(np.rec.fromarrays([frequent["hash"].to_numpy().view(np.uint64), frequent["n"].to_numpy()], names="hash,n"), order="hash")
-    table = CountFilter(segments, bits, grams.where("filter IS NOT NULL").select("segment", "floor", "filter").collect())
+    table = CountFilter(segments, bits, grams.where("filter IS NOT NULL").select("segment", "floor", "pair_floor", "filter").collect())
     begun = float(sum(r["n"] for r in words.where(F.col("hash") == F.lit(int(END.view(np.int64)))).collect()))
+    # counts by octave code; pairs that the filter may lack are asked for, as are tokens whose words it may lack
+    estimates = np.zeros(256)
+    estimates[:64], estimates[BEGUN] = means, begun
+    asks, joins = bool((table.pair_floors > 1).any() or (table.floors > 1).any()), bool((table.floors > 1).any())
+    denominator = total + distinct + 1.0
     # the filter has at most filter_bits bits and the table at most top_words rows
-    sent_model = spark.sparkContext.broadcast((table, np.ascontiguousarray(top["hash"]), np.ascontiguousarray(top["n"]), means))
+    sent_model = spark.sparkContext.broadcast((table, np.ascontiguousarray(top["hash"]), np.ascontiguousarray(top["n"]), estimates))
 
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    link = pa.struct([("pair", pa.int64()), ("word", pa.int64()), ("before", pa.int64()), ("w", pa.int16()), ("h", pa.int16()), ("p", pa.int16())])
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("links", pa.list_(link)), *_PACKED])
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes, counts, means = sent_model.value
-        row = TaskContext.get().partitionId() << 40
-        denominator = total + distinct + 1.0
+        table, hashes, counts, estimates = sent_model.value
+        part, base = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 40
+        row, held, n = base, [], 0  # blocks hold 65,536 row numbers each
+
+        def questions() -> Iterator[pa.RecordBatch]:
+            for q in packed_questions(table.shift, base, *(np.concatenate(c) for c in zip(*held))):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(q), f.type) for f in list(schema)[: -len(_PACKED)]), *q.columns], schema=schema)
+
         for batch in rows:
             for at, texts in chunks(batch, 2):
+                if held and (n >= 1_500_000 or row + len(texts) > base + (1 << 16)):
+                    yield from questions()
+                    held, n = [], 0
+                if row + len(texts) > base + (1 << 16):  # no text's rows cross a block's end
+                    base = row = base + (1 << 16)
                 tokens, sizes = token_hashes(texts)
                 starts = np.cumsum(sizes) - sizes
                 distinct_tokens, back = np.unique(tokens, return_inverse=True)
                 i = np.minimum(np.searchsorted(hashes, distinct_tokens), max(0, len(hashes) - 1))
                 found = hashes[i] == distinct_tokens if len(hashes) else np.zeros(len(distinct_tokens), bool)
                 exact = np.where(found, counts[i], 0) if len(hashes) else np.zeros(len(distinct_tokens))
-                one = table.counts(distinct_tokens, 0, means)
+                one = table.octaves(distinct_tokens, 0)
+                one = np.where((one == ASK) & found, np.log2(np.maximum(exact, 1)).astype(np.int64), one)
                 before, pairs = pair_hashes(tokens, sizes)
-                p = ((one + 1) / denominator)[back]
-                history = np.empty(len(tokens))
-                history[1:] = one[back[:-1]]
-                history[starts] = begun
-                both = np.minimum(table.counts(pairs, 1, means), history)
-                p = np.where(history > 0, (1 - weight) * p + weight * both / np.maximum(history, 1), p)
+                word, history, both = one[back], np.empty(len(tokens), np.int64), table.octaves(pairs, 1)
+                history[1:] = word[:-1]
+                history[starts] = BEGUN
+                logs = np.log10(probability(estimates[word], estimates[history], estimates[both], denominator, weight))
+                linked = (word == ASK) | (history == ASK)
+                asked = ~linked & (both == ASK) & (estimates[history] > 0)
+                logs[linked | asked] = 0
+                of = np.repeat(np.arange(len(texts)), sizes)
+                if asked.any():
+                    held.append((pairs[asked], of[asked] + (row - base), np.stack([word[asked], history[asked], both[asked]], axis=1)))
+                    n += int(asked.sum())
                 is_rare = ~found[back]
                 rare = tokens[is_rare].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.add.reduceat(is_rare.astype(np.int64), starts))])
+                link_ends = np.concatenate([[0], np.cumsum(np.add.reduceat(linked.astype(np.int64), starts))])
+                links = pa.StructArray.from_arrays([*(pa.array(v[linked].view(np.int64)) for v in (pairs, tokens, before)), *(pa.array(v[linked].astype(np.int16)) for v in (word, history, both))], fields=list(link))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row + np.arange(len(texts))), batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(sizes),
                     pa.array(np.add.reduceat(found[back].astype(np.int64), starts)), pa.array(np.add.reduceat(np.where(found, np.log10(exact + 1), 0)[back], starts)),
-                    pa.array(np.add.reduceat(np.log10(p), starts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare)),
+                    pa.array(np.add.reduceat(logs, starts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare)), pa.ListArray.from_arrays(pa.array(link_ends, pa.int32()), links),
+                    pa.array(np.full(len(texts), -1 - part % 4096 * 64 - (row >> 9) % 64, np.int32)), *(pa.nulls(len(texts), f.type) for f in list(_PACKED)[1:]),
                 ], schema=schema)
                 row += len(texts)
+        if held:
+            yield from questions()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    out = scratch.written(rows.mapInArrow(score, "row long, id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>"), "documents")
+    out = rows.mapInArrow(score, f"row long, id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, links array<struct<pair:long,word:long,before:long,w:short,h:short,p:short>>, {PACKED}")
+    if asks:
+        tables = grams.where("pairs IS NOT NULL").select("segment", F.lit(0).alias("kind"), F.col("pairs").alias("keys"), "octaves")
+        out = scratch.written(answered(out, tables, estimates, denominator, weight), "documents")
+        answers = out.where("kind = 2")
+        if joins:
+            more = linked_questions(out.where("row IS NOT NULL"), words, table.shift)
+            answers = answers.select("base", "rows", "octaves").unionByName(answered(more, tables, estimates, denominator, weight).select("base", "rows", "octaves"))
+        out = out.where("row IS NOT NULL").join(summed(answers), "row", "left").withColumn("score", F.col("score") + F.coalesce("asked", F.lit(0.0)))
+        out = scratch.written(out.select("row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare"), "scores")
+    else:
+        out = scratch.written(out.select("row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare"), "documents")
     rare = out.select("row", F.explode("rare").alias("hash")).join(words.where(F.col("n") < F.lit(2**least)) if least < 63 else words, "hash")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
     joined = out.drop("rare").join(rare, "row", "left")

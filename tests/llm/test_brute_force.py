@@ -92,6 +92,31 @@ def test_lm_query(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_scores_do_not_depend_on_the_filters_room(spark):
+    """Where neither pairs nor words fit, the left-out ones are still counted: the scores are those of exact octaves."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in docs.collect()}
+    words, pairs = Counter(), Counter()
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(t)
+            pairs.update(zip([b" ", *t], t))
+    n, v, begun = sum(words.values()), len(words), words[None]
+    octaves = {}
+    for c in words.values():
+        octaves.setdefault(c.bit_length(), []).append(c)
+    mean = lambda c: c and np.mean(octaves.get(c.bit_length(), [1.5 * 2 ** (c.bit_length() - 1)]))
+    want = {}
+    for i, t in tokens.items():
+        want[i] = 0
+        for a, b in zip([b" ", *t], t):
+            p, h = (mean(words[b]) + 1) / (n + v + 1), begun if a == b" " else mean(words[a])
+            want[i] += math.log10(0.6 * p + 0.4 * min(mean(pairs[a, b]), h) / h if h else p)
+    for bits, top, off in ((1 << 19, 1 << 19, 0.02), (1 << 15, 100, 0.02), (1 << 24, 1 << 19, 0.05)):
+        got = {r.doc_id: r.score for r in lm_score.scored(docs, filter_bits=bits, top_words=top).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) / len(t) for i, t in tokens.items() if len(t) > 200) < off
+
+
 def test_filter_levels_are_not_below_the_counts(spark):
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
