@@ -81,6 +81,14 @@ def test_language_id(docs, none):
     assert {r.lang_pred for r in language_id.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_pipeline_keeps_unlabelled_documents(docs):
+    import corpus_pipeline as p
+
+    unlabelled = docs.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    got = p.language_id(docs.sparkSession, unlabelled, "")
+    assert got.columns == p.COLUMNS and sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i in (1, 5, 5, 6, 7, None, 9, 10, 12))
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
