@@ -4,7 +4,8 @@ A turn is written as  <s>[INST]role[/INST]text</s> . Inside roles and texts a ba
 a backslash after its first character, so no text can hold a control string and dropping the escapes restores it.
 
 The prefix sums of a conversation's turn tokens are cut at multiples of `budget`: a window is the span of turns whose
-sums end between two cuts. Spans are turn-aligned, so one turn may alone exceed the budget. Every later window also repeats the
+sums end between two cuts. Spans are turn-aligned, so the turn that overhangs a cut may take a window over the budget, and the budget does not
+count the repeated turns. Every later window also repeats the
 conversation's system turn and up to `history` turns before it. Repeated turns are context: only turns that are new in their window
 are targets, and the loss mask holds the texts of new assistant turns.
 """
