@@ -153,10 +153,13 @@ class Applied:
 def training_rows(docs: DataFrame, per_language: int, max_languages: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
     """The bounded sample that the network learns from: the per_language documents of each language with the smallest id hash.
 
-    Only documents whose crc32(id as text) mod 3 is not 1 take part. The first pass reads ids and languages alone.
+    Only documents whose crc32(id as text) mod 3 is not 1 take part. The first pass reads ids and languages alone. More than
+    max_languages languages are refused. Of an id and language's different texts the first four are taken.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    held = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages).collect()
+    held = ids.groupBy("lang").agg(F.countDistinct("id").alias("n")).orderBy("lang").limit(max_languages + 1).collect()
+    if len(held) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     # the smallest hashes of a large language all lie below twice their expected place, so few rows reach the window
     below = F.create_map(*[F.lit(x) for r in held for x in (r["lang"], 2.0**64 * min(1.0, (2 * per_language + 64) / r["n"]) - 2.0**63)])[F.col("lang")] if held else F.lit(0.0)
     ids = ids.where(F.xxhash64("id") <= below)
@@ -169,7 +172,8 @@ def training_rows(docs: DataFrame, per_language: int, max_languages: int, id_col
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # a training window needs no more than the evenly spread windows of a text, so long texts are cut down on the way to the driver
     seen = rows.select("id", "lang", F.when(F.length("text") <= 8 * WINDOW, F.col("text")).otherwise(F.concat_ws("", *[F.expr(f"substring(text, 1 + CAST({k} * (length(text) - {WINDOW}) / 7 AS INT), {WINDOW})") for k in range(8)])).alias("text"))
-    got = seen.orderBy("id", "lang", "text").limit(len(wanted) * 4).collect()
+    nth = F.row_number().over(Window.partitionBy("id", "lang").orderBy("text"))
+    got = seen.distinct().withColumn("nth", nth).where("nth <= 4").orderBy("id", "lang", "text").collect()
     return [(r["text"].encode(), r["lang"]) for r in got]
 
 
@@ -177,7 +181,8 @@ def identified(docs: DataFrame, per_language: int = 400, max_languages: int = 20
     """The rows of `docs`, or of them the columns `carry`, with held_out, lang_pred and score.
 
     lang_pred is a language seen in training; `und` with score 0 where the text is null or has no letter, and for all rows where there is
-    nothing to learn from. All windows of a text count, however long it is; repeated rows get the same answer each.
+    nothing to learn from. All windows of a text count, however long it is; repeated rows get the same answer each. Labels of more than
+    max_languages languages raise a ValueError.
     """
     spark = docs.sparkSession
     batches(spark)

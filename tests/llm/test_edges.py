@@ -81,6 +81,18 @@ def test_language_id(docs, none):
     assert {r.lang_pred for r in language_id.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_are_all_learned_or_refused(spark):
+    many = spark.range(12).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    with pytest.raises(ValueError):
+        language_id.training_rows(many, 5, 3, "doc_id", "text", "lang")
+    # xx: 9 ids of 300 rows each; yy: as many ids, once each
+    few = spark.range(300 * 9).select((F.col("id") % 9).alias("doc_id"), F.lit("quelques mots").alias("text"), F.lit("xx").alias("lang"))
+    few = few.unionByName(spark.range(100, 109).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("yy").alias("lang")))
+    want = [i for i in [*range(9), *range(100, 109)] if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = language_id.training_rows(few, 5, 3, "doc_id", "text", "lang")
+    assert [sum(v == x for _, v in got) for x in ("xx", "yy")] == [min(5, sum(i < 9 for i in want)), min(5, sum(i >= 9 for i in want))]
+
+
 def test_pipeline_keeps_unlabelled_documents(docs):
     import corpus_pipeline as p
 
