@@ -38,7 +38,7 @@ _PIECES = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("piece", pa.int32
 def _merge_ranks(spec: dict) -> dict[bytes, int] | None:
     """Bytes of each token and its id, where ids rise in the order of the merges; None for any other kind of tokenizer."""
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or not all(t["special"] for t in spec.get("added_tokens", [])):
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or not all(t["special"] and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) for t in spec.get("added_tokens", [])):
         return None
     if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
         return None
@@ -55,13 +55,17 @@ class Encoder:
     """Texts to packed little-endian unsigned 32-bit ids, with a bounded memory of chunks already seen.
 
     The ids are those of the given file of the `tokenizers` library. For a plain byte-level BPE the merges are run by
-    tiktoken from that file's own vocabulary, chunk by chunk, which gives the same ids in a third of the time.
+    tiktoken from that file's own vocabulary, chunk by chunk, which gives the same ids in a third of the time. The file's added tokens
+    are one id each wherever a text holds them, as `tokenizers` reads them.
     """
 
     def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
-            ranks = _merge_ranks(json.load(f))
+            spec = json.load(f)
+        ranks, added = _merge_ranks(spec), {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.added = {k: struct.pack("<I", i) for k, i in added.items()}
+        self.split = re.compile("|".join(re.escape(k) for k in sorted(added, key=len, reverse=True))) if added else None
         self.chunked, self.keep, self.new, self.old = ranks is not None, keep, {}, {}
         if ranks is not None:
             import tiktoken
@@ -71,7 +75,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
     def _miss(self, chunk: str) -> bytes:
         if (got := self.new.get(chunk)) is None:
@@ -88,6 +91,16 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not self.chunked:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.split or not self.split.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join(out) + self._plain(text[at:])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         chunks = _CHUNK.findall(text)
         found = list(map(self.new.get, chunks))
         if None in found:

@@ -197,6 +197,19 @@ def test_chunked_ids_are_the_tokenizers(text):
     assert packing.encoder(path).ids(text) == np.array(want, "<u4").tobytes()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "é", "don't", "1"]), max_size=12))
+def test_added_tokens_are_the_tokenizers(parts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "".join(parts)
+    if not hasattr(test_added_tokens_are_the_tokenizers, "t"):
+        test_added_tokens_are_the_tokenizers.t = Tokenizer.from_file(path)
+    want = test_added_tokens_are_the_tokenizers.t.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(path).ids(text) == np.array(want, "<u4").tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunked_framing(data, size):
