@@ -64,6 +64,22 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], n: int, row_bytes: int, held: str = "held", how: str = "left", per_task: int = 1 << 20) -> DataFrame:
+    """Join of many rows with a table of n rows, unique in its keys, whose column `held` tells how many of the rows have each key; `held` goes.
+
+    The table is broadcast within the bound. Beyond it both sides are shuffled by key, and the rows of a key that more than
+    per_task rows have are dealt to several tasks, each with its own copy of the table's row, so no key's rows must fit in one task. The table of such
+    keys is broadcast: it has at most a row for every per_task input rows. Keys must not be null.
+    """
+    if n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table.drop(held)), on, how)
+    hot = F.broadcast(table.where(F.col(held) > per_task).select(*on, F.ceil(F.col(held) / per_task).alias("_salts")))
+    salted = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_salts")))).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col(held) / per_task), F.lit(1)) - 1)
+    dealt = table.withColumn("_salt", F.explode(F.when(F.col(held) > per_task, copies).otherwise(F.array(F.lit(0).cast("long"))))).drop(held)
+    return salted.join(dealt, [*on, "_salt"], how).drop("_salt")
+
+
 def batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of whole texts must stay small: at most so many rows each in this session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -71,10 +87,5 @@ def batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's bytes; for files their size, without reading them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

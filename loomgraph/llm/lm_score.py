@@ -1,24 +1,26 @@
 """LM scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-1. Every training text is read once; a task counts the hashes of its words and word pairs and sends sorted runs of
-   them to owner segments, so that a frequent word is one entry per run.
-2. An owner task merges its segment's runs: exact counts of all words, and its segment of the filter. A count c is the level
+1. Every text is tokenised once, in runs of about `run_tokens` tokens. A run's row in the shared folder holds its documents' ids and its
+   token stream (ranks into the run's distinct words, compressed). The sorted distinct hashes of its words and word pairs, with their
+   counts in training documents, are pieces for owner segments, which the top bits of a hash name.
+2. An owner task merges its segment's pieces into exact counts and builds its segment of the filter. A count c is the level
    floor(log2(c / floor)) + 1, and an n-gram is entered once for each level up to its own. Each segment has a fixed number of bits; `floor`
-   (of words) and `pair_floor` are the smallest powers of two whose entries fit in it, so the filter has a fixed largest size however many n-grams there are.
-3. The filter is broadcast. A level is read by probing level after level until one is absent; the probability of a word is
-   (1 - weight) P(word) + weight min(c(previous, word), c(previous)) / c(previous), with the add-one estimate P(word) of levels' mean counts.
-   A pair that a floor may have left out (level 0 or 1 of a segment with a pair_floor above 1) is asked for: it is sent to its owner segment, which
-   also holds the octaves of all counts below twice the floor, and the answer is added to the document's score. Where words have
-   a floor too, those it may have left out are first joined by hash with the counts. So no n-gram is lost at any size.
-4. The base score needs exact counts: the most frequent words' are broadcast, bounded in number, and those of the
-   other words of each document are joined by hash in Spark.
-
-Words are known by 64-bit hashes throughout.
+   (of words) and `pair_floor` are the smallest powers of two whose entries fit in it, so the filter has a fixed largest size however many
+   n-grams there are. To each run's piece the owner answers with the exact counts of its words and the octaves of its pairs, in the
+   order of the piece's keys, so an answer is one byte a pair before compression and needs no key.
+3. The filter is broadcast, and meets the runs' streams and answers, brought together by run. A level is read by probing level after level until
+   one is absent; the probability of a word is (1 - weight) P(word) + weight min(c(previous, word), c(previous)) / c(previous), with
+   the add-one estimate P(word) of its octave's mean count. What a floor may have left out (level 0 or 1 of a segment whose floor is
+   above 1) is read from the run's answers. So every n-gram counts at any size, and the work by input is the same at any size.
+4. The base score takes the exact counts of the answers.
+
+Words are known by 64-bit hashes, pairs by 48-bit ones.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, input_bytes
+from .common import Scratch, batches
 
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" begin"))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 PROBES = 3
+WORD, PAIR, STREAM = 0, 1, 2
+#: Octave codes next to 0 to 63: the count of beginnings, none, and not known from the filter.
+BEGUN, ABSENT, ASK = 64, 65, 255
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -52,68 +57,76 @@ def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), sizes
 
 
-def pair_hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each one (a begin mark for the first) and the hash of the two."""
+def pair_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hash of each token and the one before it (a begin mark for a text's first); its low 16 bits are zero."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[(np.cumsum(sizes) - sizes)] = BEGIN
-    return before, _mixed(before * _M2 ^ _mixed(tokens, 1), 2)
+    return _mixed(before * _M2 ^ _mixed(tokens, 1), 2) & ~np.uint64(0xFFFF)
 
 
-def chunks(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
-    """A batch's texts in runs of some megabytes, with the row where each begins."""
-    at, held, size = 0, [], 0
-    for i, t in enumerate(batch.column(column).to_pylist()):
-        held.append(t)
-        size += len(t or b"") + 64
-        if size >= most:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
+def packed(x: np.ndarray, low: int, high: int) -> bytes:
+    """Bytes `low` to `high` of unsigned numbers, one plane after another, compressed; sorted numbers have cheap high planes."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, low:high].T)
+    return struct.pack("<I", len(x)) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def runs(train: DataFrame, segments: int) -> DataFrame:
-    """(segment, kind, keys, counts): sorted runs of word (0) and pair (1) hashes with counts, by the hash's top bits."""
-    shift = np.uint64(64 - int(math.log2(segments)))
-    schema = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        n = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                keys, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
-                held[kind] = []
-                of = (keys >> shift).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(of)) + 1
-                cuts = np.concatenate([[0], cuts, [len(keys)]])
-                counts = counts.astype("<u4")
-                for i in range(0, len(cuts) - 1, 64):
-                    part = list(zip(cuts[i : i + 64].tolist(), cuts[i + 1 : i + 65].tolist()))
-                    yield pa.RecordBatch.from_arrays([pa.array([of[a] for a, _ in part], pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in part]), pa.array([counts[a:b].tobytes() for a, b in part])], schema=schema)
+def unpacked(data: bytes, low: int, high: int) -> np.ndarray:
+    n = struct.unpack_from("<I", data)[0]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = pa.decompress(memoryview(data)[4:], n * (high - low), codec="zstd")
+        out[:, low:high] = np.frombuffer(planes, np.uint8).reshape(high - low, n).T
+    return out.view("<u8").ravel()
 
-        for batch in rows:
-            for _, texts in chunks(batch, 0):
-                tokens, sizes = token_hashes(texts)
-                held[0].append(tokens)
-                held[1].append(pair_hashes(tokens, sizes)[1])
-                n += len(tokens)
-                if n >= 3_000_000:
-                    yield from sent()
-                    n = 0
-        if n:
-            yield from sent()
 
-    return train.mapInArrow(count, "segment int, kind int, keys binary, counts binary")
+#: Which bytes of a word's key, a pair's key, a count and a rank are kept.
+_KEYS, _COUNTS, _RANKS = {WORD: (0, 8), PAIR: (2, 8)}, (0, 5), (0, 4)
+RUNS = "run long, kind int, segment int, keys binary, counts binary, ids array<long>, held array<boolean>, sizes binary, begun long"
+_RUNS = pa.schema([("run", pa.int64()), ("kind", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("begun", pa.int64())])
+
 
+def _batch(schema: pa.Schema, rows: int, /, **given: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
-def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[start], np.add.reduceat(counts, start) if len(keys) else counts
+
+def runs(docs: DataFrame, segments: int, run_tokens: int) -> DataFrame:
+    """docs: id, held_out, text (binary). Per run a row of kind STREAM (distinct words by frequency in `keys`, the tokens' ranks in `counts`)
+    and a row per segment and kind of n-gram with its sorted keys and their counts in training documents, which may be zero."""
+    shift = np.uint64(64 - int(math.log2(segments)))
+
+    def one(run: int, ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
+        tokens, sizes = token_hashes(texts)
+        train = np.repeat(~np.array(held, bool), sizes)
+        for kind, grams in ((WORD, tokens), (PAIR, pair_hashes(tokens, sizes))):
+            keys, at = np.unique(grams, return_inverse=True)
+            counts = np.bincount(at[train], minlength=len(keys))
+            of = (keys >> shift).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(keys)]]).tolist()
+            for i in range(0, len(cuts) - 1, 64):
+                part = list(zip(cuts[i : i + 64], cuts[i + 1 : i + 65]))
+                yield _batch(_RUNS, len(part), run=pa.array([run] * len(part)), kind=pa.array([kind] * len(part)), segment=pa.array([of[a] for a, _ in part]), keys=pa.array([packed(keys[a:b], *_KEYS[kind]) for a, b in part]), counts=pa.array([packed(counts[a:b], *_COUNTS) for a, b in part]))
+            if kind == WORD:
+                by_use = np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")
+                rank = np.empty(len(keys), np.int64)
+                rank[by_use] = np.arange(len(keys))
+                yield _batch(_RUNS, 1, run=pa.array([run]), kind=pa.array([STREAM]), keys=pa.array([packed(keys[by_use], *_KEYS[WORD])]), counts=pa.array([packed(rank[at], *_RANKS)]), ids=pa.array([ids], pa.list_(pa.int64())), held=pa.array([held]), sizes=pa.array([packed(sizes, *_COUNTS)]), begun=pa.array([len(held) - sum(held)]))
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        for batch in rows:
+            for i, h, t in zip(*(c.to_pylist() for c in batch.columns)):
+                ids.append(i)
+                held.append(h)
+                texts.append(t)
+                size += len(t or b"") // 6 + 1
+                if size >= run_tokens:
+                    yield from one(run, ids, held, texts)
+                    run, ids, held, texts, size = run + 1, [], [], [], 0
+        if ids:
+            yield from one(run, ids, held, texts)
+
+    return docs.select("id", "held_out", "text").mapInArrow(cut, RUNS)
 
 
 def _positions(keys: np.ndarray, kind: int, level: np.ndarray | int, probe: int, bits: int) -> np.ndarray:
@@ -122,66 +135,69 @@ def _positions(keys: np.ndarray, kind: int, level: np.ndarray | int, probe: int,
     return (x >> np.uint64(40)) & np.uint64(bits - 1) if bits <= 1 << 24 else x & np.uint64(bits - 1)
 
 
-def merged_segments(sorted_runs: DataFrame, bits: int) -> DataFrame:
-    """Owner tasks: (segment, floor, pair_floor, filter) per segment, (hash, n) per word, and where pair_floor is above 1
-    (segment, pairs, octaves) of all pairs below twice that count; one table with nulls."""
-    schema = pa.schema([("segment", pa.int32()), ("floor", pa.int64()), ("pair_floor", pa.int64()), ("filter", pa.binary()), ("hash", pa.int64()), ("n", pa.int64()), ("pairs", pa.binary()), ("octaves", pa.binary())])
+def filtered(grams: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[list[int], bytes]:
+    """The floors of words and pairs and one segment of the filter, from keys and exact counts of either kind."""
+    floors, used = [], 0
+    for (_, c), most in zip(grams, (bits // 16, bits // 8)):  # leave the filter sparse enough; words take half of it at most
+        floor = 1
+        while True:
+            entries = int((np.log2(c[c >= floor] / floor).astype(np.int64) + 1).sum())
+            if used + entries <= most or floor > 1 << 40:
+                break
+            floor *= 2
+        floors.append(floor)
+        used += entries
+    mask = np.zeros(bits, np.uint8)
+    for kind, ((keys, counts), floor) in enumerate(zip(grams, floors)):
+        keys, counts = keys[counts >= floor], counts[counts >= floor]
+        top = np.log2(counts / floor).astype(np.int64) + 1
+        for level in range(1, int(top.max(initial=0)) + 1):
+            k = keys[top >= level]
+            for probe in range(PROBES):
+                mask[_positions(k, kind, level, probe, bits)] = 1
+    return floors, np.packbits(mask, bitorder="little").tobytes()
+
 
-    def of(rows: int, /, **given: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[f.name].cast(f.type) if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
+ANSWERS = "run long, kind int, segment int, answer binary, floor long, pair_floor long, filter binary, stats array<long>"
+_ANSWERS = pa.schema([("run", pa.int64()), ("kind", pa.int32()), ("segment", pa.int32()), ("answer", pa.binary()), ("floor", pa.int64()), ("pair_floor", pa.int64()), ("filter", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
-    def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, held = None, {0: [], 1: []}
 
-        def compact(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held[kind]] or [np.empty(0, np.uint64)])
-            counts = np.concatenate([c for _, c in held[kind]] or [np.empty(0, np.int64)])
-            return _merged(keys, counts)
+def merged_segments(pieces: DataFrame, bits: int) -> DataFrame:
+    """Owner tasks over pieces (run, kind, segment, keys, counts), sorted by segment. Per segment a row of its filter, floors and statistics (for words, then pairs:
+    64 numbers of n-grams by octave, 64 sums of their counts), and a row that answers each piece: counts of words, octaves of pairs."""
+
+    def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, held = None, {WORD: [], PAIR: []}
 
         def done() -> Iterator[pa.RecordBatch]:
-            grams = [compact(0), compact(1)]
-            # the smallest floors whose entries leave the filter sparse enough; words take half of it at most
-            floors, used = [], 0
-            for (_, c), most in zip(grams, (bits // 16, bits // 8)):
-                floor = 1
-                while True:
-                    entries = int((np.log2(c[c >= floor] / floor).astype(np.int64) + 1).sum())
-                    if used + entries <= most or floor > 1 << 40:
-                        break
-                    floor *= 2
-                floors.append(floor)
-                used += entries
-            mask = np.zeros(bits, np.uint8)
-            for kind, ((keys, counts), floor) in enumerate(zip(grams, floors)):
-                keys, counts = keys[counts >= floor], counts[counts >= floor]
-                top = np.log2(counts / floor).astype(np.int64) + 1
-                for level in range(1, int(top.max(initial=0)) + 1):
-                    k = keys[top >= level]
-                    for probe in range(PROBES):
-                        mask[_positions(k, kind, level, probe, bits)] = 1
-            yield of(1, segment=pa.array([segment]), floor=pa.array(floors[:1]), pair_floor=pa.array(floors[1:]), filter=pa.array([np.packbits(mask, bitorder="little").tobytes()]))
-            if floors[1] > 1:
-                keys, counts = grams[1]
-                low = counts < 2 * floors[1]
-                yield of(1, segment=pa.array([segment]), pairs=pa.array([keys[low].tobytes()]), octaves=pa.array([np.log2(counts[low]).astype(np.uint8).tobytes()]))
-            words, counts = grams[0]
-            for i in range(0, len(words), 50_000):
-                k = words[i : i + 50_000]
-                yield of(len(k), hash=pa.array(k.view(np.int64)), n=pa.array(counts[i : i + 50_000]))
+            grams, stats = [], []
+            for kind in (WORD, PAIR):
+                keys = np.concatenate([k for _, k, _ in held[kind]] or [np.empty(0, np.uint64)])
+                keys, at = np.unique(keys, return_inverse=True)
+                total = np.bincount(at, np.concatenate([c for _, _, c in held[kind]] or [np.empty(0)]), len(keys)).astype(np.int64)
+                octave = np.where(total > 0, np.log2(np.maximum(total, 1)).astype(np.int64), ABSENT)
+                seen = total > 0
+                grams.append((keys[seen], total[seen]))
+                stats += [np.bincount(octave[seen], minlength=64), np.bincount(octave[seen], total[seen], 64).astype(np.int64)]
+                end = np.cumsum([len(k) for _, k, _ in held[kind]])
+                for i in range(0, len(end), 256):
+                    part = [(held[kind][j][0], at[end[j] - len(held[kind][j][1]) : end[j]]) for j in range(i, min(i + 256, len(end)))]
+                    told = [packed(total[a], *_COUNTS) if kind == WORD else packed(octave[a], 0, 1) for _, a in part]
+                    yield _batch(_ANSWERS, len(part), run=pa.array([r for r, _ in part]), kind=pa.array([kind] * len(part)), segment=pa.array([segment] * len(part)), answer=pa.array(told))
+            floors, mask = filtered(grams, bits)
+            yield _batch(_ANSWERS, 1, segment=pa.array([segment]), floor=pa.array(floors[:1]), pair_floor=pa.array(floors[1:]), filter=pa.array([mask]), stats=pa.array([np.concatenate(stats).tolist()]))
 
         for b in rows:
-            for s, kind, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
+            for run, kind, s, keys, counts in zip(*(b.column(c).to_pylist() for c in ("run", "kind", "segment", "keys", "counts"))):
                 if s != segment:
                     if segment is not None:
                         yield from done()
-                    segment, held = s, {0: [], 1: []}
-                held[kind].append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4").astype(np.int64)))
-                if len(held[kind]) >= 256:  # bounded by the distinct n-grams of a segment, not by the number of runs
-                    held[kind] = [compact(kind)]
+                    segment, held = s, {WORD: [], PAIR: []}
+                held[kind].append((run, unpacked(keys, *_KEYS[kind]), unpacked(counts, *_COUNTS)))
         if segment is not None:
             yield from done()
 
-    return sorted_runs.mapInArrow(own, "segment int, floor long, pair_floor long, filter binary, hash long, n long, pairs binary, octaves binary")
+    return pieces.select("run", "kind", "segment", "keys", "counts").mapInArrow(own, ANSWERS)
 
 
 class CountFilter:
@@ -219,253 +235,99 @@ class CountFilter:
         return np.where((floors > 1) & (level <= 1), ASK, np.where(level > 0, octave, ABSENT))
 
 
-#: Octave codes next to 0 to 63: the count of beginnings, none, and not known from the filter. `estimates` ends with the first two.
-BEGUN, ABSENT, ASK = 64, 65, 255
-#: Rows of a packed table (kind 0: keys and octaves of a segment), of questions (kind 1) and of answers (kind 2: rows and logs).
-PACKED = "segment int, kind int, base long, keys binary, rows binary, octaves binary"
-_PACKED = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("octaves", pa.binary())])
-
-
-def packed_questions(shift: np.uint64, base: int, pairs: np.ndarray, rows: np.ndarray, octaves: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Questions by owner segment: pair, row within the block that starts at `base`, octaves of word, history and pair."""
-    order = np.argsort(pairs)
-    pairs, rows, octaves = pairs[order], rows[order].astype("<u2"), octaves[order].astype(np.uint8)
-    of = (pairs >> shift).astype(np.int64)
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(pairs)]]).tolist()
-    for i in range(0, len(cuts) - 1, 64):
-        part = [(a, b) for a, b in zip(cuts[i : i + 64], cuts[i + 1 : i + 65]) if b > a]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([of[a] for a, _ in part], pa.int32()), pa.array([1] * len(part), pa.int32()), pa.array([base] * len(part), pa.int64()),
-            pa.array([pairs[a:b].tobytes() for a, b in part], pa.binary()), pa.array([rows[a:b].tobytes() for a, b in part], pa.binary()), pa.array([octaves[a:b].tobytes() for a, b in part], pa.binary()),
-        ], schema=_PACKED)
-
-
 def probability(word: np.ndarray, history: np.ndarray, both: np.ndarray, denominator: float, weight: float) -> np.ndarray:
     """The word's probability from estimated counts of the word, of the one before it and of the two."""
     p = (word + 1) / denominator
     return np.where(history > 0, (1 - weight) * p + weight * np.minimum(both, history) / np.maximum(history, 1), p)
 
 
-def answered(questions: DataFrame, tables: DataFrame, estimates: np.ndarray, denominator: float, weight: float) -> DataFrame:
-    """Answers per block of rows. Rows of `questions` with a negative segment pass through; all others go to the owners' tables."""
-    both = questions.unionByName(tables, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", "kind")
-    names = both.columns
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, octaves = None, np.empty(0, np.uint64), np.empty(0, np.uint8)
-        sums: dict[int, np.ndarray] = {}
-
-        def sent(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-            for base, x in sums.items():
-                rows = np.flatnonzero(x)
-                one = {"kind": 2, "base": base, "rows": rows.astype("<u2").tobytes(), "octaves": x[rows].astype("<f4").tobytes()}
-                yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in schema], schema=schema)
-            sums.clear()
-
-        for b in batches:
-            own = b.column("segment").to_numpy() >= 0
-            if not own.all():
-                yield b.filter(pa.array(~own))
-            if not own.any():
-                continue
-            for s, kind, base, k, r, o in zip(*(b.filter(pa.array(own)).column(c).to_pylist() for c in _PACKED.names)):
-                k, o = np.frombuffer(k, np.uint64), np.frombuffer(o, np.uint8)
-                if kind == 0:
-                    at, keys, octaves = s, k, o
-                    continue
-                if s != at:
-                    at, keys, octaves = s, np.empty(0, np.uint64), np.empty(0, np.uint8)
-                o = o.reshape(-1, 3)
-                i = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                held = np.where(keys[i] == k, octaves[i], ABSENT) if len(keys) else np.full(len(k), ABSENT)
-                p = probability(estimates[o[:, 0]], estimates[o[:, 1]], estimates[np.where(o[:, 2] == ASK, held, o[:, 2])], denominator, weight)
-                r = np.frombuffer(r, "<u2")
-                x = np.bincount(r, np.log10(p))
-                if len(x) > len(sums.get(base, ())):
-                    x[: len(sums.get(base, ()))] += sums.get(base, 0)
-                    sums[base] = x
-                else:
-                    sums[base][: len(x)] += x
-            if sum(map(len, sums.values())) > 4_000_000:
-                yield from sent(b.schema)
-        if sums:
-            yield from sent(b.schema)
-
-    return both.mapInArrow(answer, both.schema).select(*names)
-
-
-def summed(answers: DataFrame) -> DataFrame:
-    """(row, asked): the sum of all answers for each document."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, x = None, np.zeros(1 << 16)
-
-        def done() -> pa.RecordBatch:
-            rows = np.flatnonzero(x)
-            return pa.RecordBatch.from_arrays([pa.array(at + rows), pa.array(x[rows])], names=["row", "asked"])
-
-        for b in batches:
-            for base, r, v in zip(*(b.column(c).to_pylist() for c in ("base", "rows", "octaves"))):
-                if base != at:
-                    if at is not None:
-                        yield done()
-                    at, x = base, np.zeros(1 << 16)
-                x[np.frombuffer(r, "<u2")] += np.frombuffer(v, "<f4")
-        if at is not None:
-            yield done()
-
-    parts = answers.select("base", "rows", "octaves").repartition("base").sortWithinPartitions("base")
-    return parts.mapInArrow(add, "row long, asked double")
-
-
-def linked_questions(out: DataFrame, words: DataFrame, shift: np.uint64) -> DataFrame:
-    """Questions of the tokens that wait for a word: the words' octaves are joined by hash."""
-    octave = F.floor(F.log2("n")).cast("short").alias("octave")
-    t = out.select("row", F.inline("links"))
-    for code, key in (("w", "word"), ("h", "before")):
-        known = t.where(F.col(code) != ASK)
-        got = t.where(F.col(code) == ASK).join(words.select(F.col("hash").alias(key), octave), key, "left").withColumn(code, F.coalesce("octave", F.lit(ABSENT)).cast("short"))
-        t = known.unionByName(got.select(*t.columns))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            row, pairs, w, h, p = (np.concatenate(c) for c in zip(*held))
-            base = row >> 16 << 16
-            for b in np.unique(base).tolist():
-                of = base == b
-                yield from packed_questions(shift, b, pairs[of].view(np.uint64), row[of] - b, np.stack([w[of], h[of], p[of]], axis=1))
-
-        for b in batches:
-            held.append(tuple(b.column(c).to_numpy() for c in ("row", "pair", "w", "h", "p")))
-            n += b.num_rows
-            if n >= 1_000_000:
-                yield from sent()
-                held, n = [], 0
-        if n:
-            yield from sent()
-
-    return t.select("row", "pair", "w", "h", "p").mapInArrow(pack, PACKED)
-
-
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 28, top_words: int = 1 << 19, weight: float = 0.4) -> DataFrame:
+def estimates(stats: dict[int, int], kind: int) -> np.ndarray:
+    """Counts by octave code: the mean count of the octave's n-grams."""
+    out = np.zeros(256)
+    for k in range(64):
+        n, total = stats.get(128 * kind + k, 0), stats.get(128 * kind + 64 + k, 0)
+        out[k] = total / n if n else 1.5 * 2.0**k
+    return out
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 28, run_tokens: int = 1 << 20, segment_bytes: int = 16 << 20, weight: float = 0.4) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(id as text) mod 7 is not 2; a null id takes part in learning. Null and empty texts hold
     the end token alone. Repeated rows are counted and scored each. If there is nothing to learn from, all counts are zero and every
     token has the add-one probability of an empty table. An empty table gives no rows; further columns are ignored.
+
+    filter_bits bounds the broadcast filter, run_tokens a task's tokens at a time (a longer document is a run of its own), segment_bytes the
+    bytes of text per owner segment, whose number grows with the input.
     """
     spark = docs.sparkSession
     batches(spark)
     scratch = Scratch(spark, "lm")
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
-    size = input_bytes(docs)
-    segments = 1 << min(14, max(6, (size >> 20).bit_length()))
-    bits = min(filter_bits, 1 << max(20, (32 * size).bit_length())) // segments
-    sent = runs(docs.where(~held_out).select(F.col(text_col).cast("binary").alias("text")), segments)
-    sent = sent.repartition("segment").sortWithinPartitions("segment", "kind")
-    grams = scratch.written(merged_segments(sent, bits), "counts")
-    words = grams.where("hash IS NOT NULL").select("hash", "n")
-    octaves = words.groupBy(F.floor(F.log2("n")).cast("int").alias("octave")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy("octave").collect()
-    total, distinct = sum(r["tokens"] for r in octaves), sum(r["words"] for r in octaves)
-    means = np.array([1.5 * 2**k for k in range(64)])
-    least, room = 64, top_words
-    for r in octaves:
-        means[r["octave"]] = r["tokens"] / r["words"]
-    for r in sorted(octaves, key=lambda r: -r["octave"]):
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["octave"]
-    frequent = words.where(F.col("n") >= F.lit(2**least)).toArrow() if least < 63 else pa.table({"hash": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    top = np.sort(np.rec.fromarrays([frequent["hash"].to_numpy().view(np.uint64), frequent["n"].to_numpy()], names="hash,n"), order="hash")
-    table = CountFilter(segments, bits, grams.where("filter IS NOT NULL").select("segment", "floor", "pair_floor", "filter").collect())
-    begun = float(sum(r["n"] for r in words.where(F.col("hash") == F.lit(int(END.view(np.int64)))).collect()))
-    # counts by octave code; pairs that the filter may lack are asked for, as are tokens whose words it may lack
-    estimates = np.zeros(256)
-    estimates[:64], estimates[BEGUN] = means, begun
-    asks, joins = bool((table.pair_floors > 1).any() or (table.floors > 1).any()), bool((table.floors > 1).any())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    segments = 1 << max(6, (size // segment_bytes).bit_length())
+    bits = max(64, min(filter_bits, 1 << max(20, (16 * size).bit_length())) // segments)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    tokenised = scratch.written(runs(rows, segments, run_tokens), "runs")
+    pieces = tokenised.where(F.col("kind") != STREAM).select("run", "kind", "segment", "keys", "counts")
+    owned = scratch.written(merged_segments(pieces.repartition("segment").sortWithinPartitions("segment"), bits), "segments")
+    heads = owned.where("filter IS NOT NULL")
+    stats = {r["pos"]: r["n"] for r in heads.select(F.posexplode("stats").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("n")).collect()}
+    total, distinct = sum(stats.get(64 + k, 0) for k in range(64)), sum(stats.get(k, 0) for k in range(64))
+    table = CountFilter(segments, bits, heads.select("segment", "floor", "pair_floor", "filter").collect())
+    of_words, of_pairs = estimates(stats, WORD), estimates(stats, PAIR)
+    of_words[BEGUN] = tokenised.agg(F.coalesce(F.sum("begun"), F.lit(0))).first()[0]
     denominator = total + distinct + 1.0
-    # the filter has at most filter_bits bits and the table at most top_words rows
-    sent_model = spark.sparkContext.broadcast((table, np.ascontiguousarray(top["hash"]), np.ascontiguousarray(top["n"]), estimates))
+    sent_model = spark.sparkContext.broadcast((table, of_words, of_pairs))  # at most filter_bits bits
 
-    link = pa.struct([("pair", pa.int64()), ("word", pa.int64()), ("before", pa.int64()), ("w", pa.int16()), ("h", pa.int16()), ("p", pa.int16())])
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("links", pa.list_(link)), *_PACKED])
+    out_schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes, counts, estimates = sent_model.value
-        part, base = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 40
-        row, held, n = base, [], 0  # blocks hold 65,536 row numbers each
-
-        def questions() -> Iterator[pa.RecordBatch]:
-            for q in packed_questions(table.shift, base, *(np.concatenate(c) for c in zip(*held))):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(q), f.type) for f in list(schema)[: -len(_PACKED)]), *q.columns], schema=schema)
-
-        for batch in rows:
-            for at, texts in chunks(batch, 2):
-                if held and (n >= 1_500_000 or row + len(texts) > base + (1 << 16)):
-                    yield from questions()
-                    held, n = [], 0
-                if row + len(texts) > base + (1 << 16):  # no text's rows cross a block's end
-                    base = row = base + (1 << 16)
-                tokens, sizes = token_hashes(texts)
-                starts = np.cumsum(sizes) - sizes
-                distinct_tokens, back = np.unique(tokens, return_inverse=True)
-                i = np.minimum(np.searchsorted(hashes, distinct_tokens), max(0, len(hashes) - 1))
-                found = hashes[i] == distinct_tokens if len(hashes) else np.zeros(len(distinct_tokens), bool)
-                exact = np.where(found, counts[i], 0) if len(hashes) else np.zeros(len(distinct_tokens))
-                one = table.octaves(distinct_tokens, 0)
-                one = np.where((one == ASK) & found, np.log2(np.maximum(exact, 1)).astype(np.int64), one)
-                before, pairs = pair_hashes(tokens, sizes)
-                word, history, both = one[back], np.empty(len(tokens), np.int64), table.octaves(pairs, 1)
-                history[1:] = word[:-1]
-                history[starts] = BEGUN
-                logs = np.log10(probability(estimates[word], estimates[history], estimates[both], denominator, weight))
-                linked = (word == ASK) | (history == ASK)
-                asked = ~linked & (both == ASK) & (estimates[history] > 0)
-                logs[linked | asked] = 0
-                of = np.repeat(np.arange(len(texts)), sizes)
-                if asked.any():
-                    held.append((pairs[asked], of[asked] + (row - base), np.stack([word[asked], history[asked], both[asked]], axis=1)))
-                    n += int(asked.sum())
-                is_rare = ~found[back]
-                rare = tokens[is_rare].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.add.reduceat(is_rare.astype(np.int64), starts))])
-                link_ends = np.concatenate([[0], np.cumsum(np.add.reduceat(linked.astype(np.int64), starts))])
-                links = pa.StructArray.from_arrays([*(pa.array(v[linked].view(np.int64)) for v in (pairs, tokens, before)), *(pa.array(v[linked].astype(np.int16)) for v in (word, history, both))], fields=list(link))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(len(texts))), batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(sizes),
-                    pa.array(np.add.reduceat(found[back].astype(np.int64), starts)), pa.array(np.add.reduceat(np.where(found, np.log10(exact + 1), 0)[back], starts)),
-                    pa.array(np.add.reduceat(logs, starts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare)), pa.ListArray.from_arrays(pa.array(link_ends, pa.int32()), links),
-                    pa.array(np.full(len(texts), -1 - part % 4096 * 64 - (row >> 9) % 64, np.int32)), *(pa.nulls(len(texts), f.type) for f in list(_PACKED)[1:]),
-                ], schema=schema)
-                row += len(texts)
-        if held:
-            yield from questions()
+        table, of_words, of_pairs = sent_model.value
+        answers: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
+
+        def one(run: int, keys: bytes, ranks: bytes, ids: list, held: list, sizes: bytes) -> pa.RecordBatch:
+            words, ranks, sizes = unpacked(keys, *_KEYS[WORD]), unpacked(ranks, *_RANKS), unpacked(sizes, *_COUNTS).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            by_key = np.argsort(words)
+            counts, octave = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            told = np.concatenate(answers[WORD])
+            counts[by_key] = told.astype(np.int64)
+            exact = np.where(counts > 0, np.log2(np.maximum(counts, 1)).astype(np.int64), ABSENT)
+            octave = table.octaves(words, WORD)
+            octave = np.where(octave == ASK, exact, octave)
+            tokens = words[ranks]
+            pairs, back = np.unique(pair_hashes(tokens, sizes), return_inverse=True)
+            both, told = table.octaves(pairs, PAIR), np.concatenate(answers[PAIR]).astype(np.int64)
+            if len(told) != len(pairs):
+                raise RuntimeError(f"run {run} has {len(pairs)} pairs and {len(told)} answers")
+            both = np.where(both == ASK, told, both)[back]
+            word, history = octave[ranks], np.empty(len(tokens), np.int64)
+            history[1:] = word[:-1]
+            history[starts] = BEGUN
+            logs = np.log10(probability(of_words[word], of_words[history], of_pairs[both], denominator, weight))
+            known = np.add.reduceat((counts > 0)[ranks].astype(np.int64), starts)
+            base = np.add.reduceat(np.log10(counts + 1.0)[ranks], starts)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.add.reduceat(logs, starts))], schema=out_schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    out = rows.mapInArrow(score, f"row long, id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, links array<struct<pair:long,word:long,before:long,w:short,h:short,p:short>>, {PACKED}")
-    if asks:
-        tables = grams.where("pairs IS NOT NULL").select("segment", F.lit(0).alias("kind"), F.col("pairs").alias("keys"), "octaves")
-        out = scratch.written(answered(out, tables, estimates, denominator, weight), "documents")
-        answers = out.where("kind = 2")
-        if joins:
-            more = linked_questions(out.where("row IS NOT NULL"), words, table.shift)
-            answers = answers.select("base", "rows", "octaves").unionByName(answered(more, tables, estimates, denominator, weight).select("base", "rows", "octaves"))
-        out = out.where("row IS NOT NULL").join(summed(answers), "row", "left").withColumn("score", F.col("score") + F.coalesce("asked", F.lit(0.0)))
-        out = scratch.written(out.select("row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare"), "scores")
-    else:
-        out = scratch.written(out.select("row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare"), "documents")
-    rare = out.select("row", F.explode("rare").alias("hash")).join(words.where(F.col("n") < F.lit(2**least)) if least < 63 else words, "hash")
-    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    joined = out.drop("rare").join(rare, "row", "left")
-    return joined.select(
+        for b in rows:
+            for run, kind, answer, *doc in zip(*(b.column(c).to_pylist() for c in ("run", "kind", "answer", "keys", "counts", "ids", "held", "sizes"))):
+                if kind != STREAM:
+                    answers[kind].append(unpacked(answer, *(_COUNTS if kind == WORD else (0, 1))))
+                else:
+                    yield one(run, *doc)
+                    answers = {WORD: [], PAIR: []}
+
+    told = owned.where("answer IS NOT NULL").select("run", "kind", "segment", "answer")
+    both = tokenised.where(F.col("kind") == STREAM).select("run", "kind", "segment", "keys", "counts", "ids", "held", "sizes").unionByName(told, allowMissingColumns=True)
+    both = both.repartition("run").sortWithinPartitions("run", "kind", "segment")
+    out = both.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    return out.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(denominator)).alias("base_score"),
         "score",
     )

@@ -102,18 +102,23 @@ def test_lm_scores_do_not_depend_on_the_filters_room(spark):
             words.update(t)
             pairs.update(zip([b" ", *t], t))
     n, v, begun = sum(words.values()), len(words), words[None]
-    octaves = {}
-    for c in words.values():
-        octaves.setdefault(c.bit_length(), []).append(c)
-    mean = lambda c: c and np.mean(octaves.get(c.bit_length(), [1.5 * 2 ** (c.bit_length() - 1)]))
+
+    def means(counts):
+        octaves = {}
+        for c in counts.values():
+            octaves.setdefault(c.bit_length(), []).append(c)
+        of = {k: np.mean(x) for k, x in octaves.items()}
+        return lambda c: c and of[c.bit_length()]
+
+    mean, pair_mean = means(words), means(pairs)
     want = {}
     for i, t in tokens.items():
         want[i] = 0
         for a, b in zip([b" ", *t], t):
             p, h = (mean(words[b]) + 1) / (n + v + 1), begun if a == b" " else mean(words[a])
-            want[i] += math.log10(0.6 * p + 0.4 * min(mean(pairs[a, b]), h) / h if h else p)
-    for bits, top, off in ((1 << 19, 1 << 19, 0.02), (1 << 15, 100, 0.02), (1 << 24, 1 << 19, 0.05)):
-        got = {r.doc_id: r.score for r in lm_score.scored(docs, filter_bits=bits, top_words=top).collect()}
+            want[i] += math.log10(0.6 * p + 0.4 * min(pair_mean(pairs[a, b]), h) / h if h else p)
+    for bits, tokens_a_run, off in ((1 << 19, 1 << 20, 0.02), (1 << 15, 3000, 0.02), (1 << 24, 1 << 14, 0.05)):
+        got = {r.doc_id: r.score for r in lm_score.scored(docs, filter_bits=bits, run_tokens=tokens_a_run, segment_bytes=1 << 12).collect()}
         assert got.keys() == want.keys() and max(abs(got[i] - want[i]) / len(t) for i, t in tokens.items() if len(t) > 200) < off
 
 
@@ -121,9 +126,11 @@ def test_filter_levels_are_not_below_the_counts(spark):
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
     counts = 1 + (rng.pareto(1, len(keys)) * 3).astype(np.int64)
-    rows = [(0, 0, keys.tobytes(), counts.astype("<u4").tobytes())]
-    runs = spark.createDataFrame([(0, 0, bytearray(rows[0][2]), bytearray(rows[0][3])), (0, 1, bytearray(keys.tobytes()), bytearray(counts.astype("<u4").tobytes()))], "segment int, kind int, keys binary, counts binary").coalesce(1)
+    counted = bytearray(lm_score.packed(counts, 0, 5))
+    runs = spark.createDataFrame([(7, 0, 0, bytearray(lm_score.packed(keys, 0, 8)), counted), (7, 1, 0, bytearray(lm_score.packed(keys, 2, 8)), counted)], "run long, kind int, segment int, keys binary, counts binary").coalesce(1)
     bits = 1 << 17
+    answers = {r.kind: r.answer for r in lm_score.merged_segments(runs, bits).where("run = 7").collect()}
+    assert (lm_score.unpacked(answers[0], 0, 5) == counts).all() and (lm_score.unpacked(answers[1], 0, 1) == np.log2(counts).astype(int)).all()
     out = lm_score.merged_segments(runs, bits).where("filter IS NOT NULL").collect()
 
     class One(lm_score.CountFilter):
