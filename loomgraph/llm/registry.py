@@ -63,13 +63,13 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("_text_hash")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "link")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
