@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -53,6 +54,45 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.deduplicated(none).count() == 0
 
 
+def test_the_index_decides(spark):
+    """With buckets of three keys the documents spread over many; every row's answer comes from its bucket, and one that lost its entry is an error."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = exact_dedup.exact_dedup(d, capacity=3).toPandas()
+    by = {}
+    for r in d.select("doc_id", "text").collect():
+        by.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), []).append(r.doc_id)
+    want = {i: (min(ids), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in by.items() for i in ids}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in got.itertuples()} == want
+    assert got.groupby("bucket")["text_sha256"].nunique().max() <= 3 and got["bucket"].nunique() > 40 and (got["link"] == 1).all()
+    index = exact_dedup.HashIndex(d, capacity=3)
+    entries = index.entries.toPandas()
+    assert len(entries) == len(by)
+    index.entries = index.entries.where(F.col("bucket") != entries["bucket"].max())
+    with pytest.raises(Exception, match="the index lacks a row"):
+        index.probed(index.rows).collect()
+    index.entries = index.entries.limit(0).unionByName(index.scratch.written(spark.createDataFrame(entries.assign(keep_id=-1), index.entries.schema), "false"))
+    assert {r.keep_id for r in index.probed(index.rows).collect()} == {-1}
+
+
+def test_colliding_keys_are_chained(spark, monkeypatch):
+    """All texts under four keys: the links of a chain are its different texts, and each row finds its own."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.pmod(F.crc32(c[0].cast("string") if hasattr(c[0], "cast") else F.col(c[0]).cast("string")), F.lit(4)).cast("long"))
+    rows = [(i, f"text {i % 40}") for i in range(120)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), capacity=2).toPandas()
+    assert (got.keep_id == got.doc_id % 40).all() and (got.group_size == 3).all() and got["link"].max() > 5
+
+
+def test_looked_up_deals_hot_keys(spark, monkeypatch):
+    from loomgraph.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 7 + 2).alias("k"))
+    table = rows.groupBy("k").agg(F.count("*").alias("held"), F.min("id").alias("least")).where("k <> 5")
+    got = common.looked_up(rows, table, ["k"], 7, 8, per_task=50)
+    want = {r.k: r.least for r in table.collect()}
+    assert {r.id: r.least for r in got.collect()} == {r.id: want.get(r.k) for r in rows.collect()}
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(4000).select(F.xxhash64("id").alias(exact_dedup.KEY))
     cells, depth = exact_dedup.directory(keys, 4000, 100)
