@@ -3,11 +3,13 @@
 A turn is written as  <s>[INST]role[/INST]text</s> . Inside roles and texts a backslash becomes two, and a control string gets
 a backslash after its first character, so no text can hold a control string and dropping the escapes restores it.
 
-The prefix sums of a conversation's turn tokens are cut at multiples of `budget`: a window is the span of turns whose
-sums end between two cuts. Spans are turn-aligned, so the turn that overhangs a cut may take a window over the budget, and the budget does not
-count the repeated turns. Every later window also repeats the
-conversation's system turn and up to `history` turns before it. Repeated turns are context: only turns that are new in their window
-are targets, and the loss mask holds the texts of new assistant turns.
+The system turn, and a quarter of the budget for history, are set aside in every window; the prefix sums of a conversation's turn
+tokens are cut at multiples of what remains (one token at least). Turns whose sums end between two cuts form a window if their tokens fit in what remains; else the
+first of them, which overhangs the cut before it, is a window of its own, and those after it, which lie between the cuts, are another. So windows are turn-aligned
+and hold one turn, or turns that fit. Every later window repeats the conversation's system turn, and up to `history` turns before it, the
+nearest first, as long as system, history and new turns fit in the budget. So a window exceeds the budget only where the system
+turn and a single new turn do. Repeated turns are context: only turns that are new in their window are targets, and the loss mask holds the
+texts of new assistant turns.
 """
 
 from __future__ import annotations
@@ -47,17 +49,27 @@ def formatted_windows(turns: DataFrame, budget: int = 1024, history: int = 2, ta
     order = Window.partitionBy("conv_id").orderBy("_turn", "role", "text")
     t = t.withColumn("pos", F.row_number().over(order) - 1).withColumn("n_tok", tokens(F.col("text")))
     t = t.withColumn("end", F.sum("n_tok").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("window", F.floor((F.col("end") - 1) / budget))
-    t = t.withColumn("seg", F.concat(F.lit("<s>[INST]"), escaped(F.col("role")), F.lit("[/INST]"), escaped(F.col("text")), F.lit("</s>")))
-    # the windows that repeat a turn: those of the next few turns, and for a leading system turn all later ones
-    later = F.array(*[F.lead("window", k).over(order) for k in range(1, history + 1)]) if history else F.array().cast("array<bigint>")
     is_system = (F.col("pos") == 0) & (F.col("role") == "system")
-    t = t.withColumn("near", F.array_distinct(F.filter(later, lambda w: w.isNotNull() & (w != F.col("window")))))
+    aside = F.coalesce(F.first(F.when(is_system, F.col("n_tok"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    t = t.withColumn("aside", aside).withColumn("room", F.greatest(F.lit(budget - budget // 4) - F.col("aside"), F.lit(1)))
+    t = t.withColumn("cell", F.floor((F.col("end") - 1) / F.col("room")))
+    alone = (F.sum("n_tok").over(Window.partitionBy("conv_id", "cell")) > F.col("room")) & (F.col("end") - F.col("n_tok") < F.col("cell") * F.col("room"))
+    t = t.withColumn("span", 2 * F.col("cell") + F.when(alone, 0).otherwise(1))
+    t = t.withColumn("left", F.lit(budget) - F.col("aside") - F.sum("n_tok").over(Window.partitionBy("conv_id", "span")))
+    t = t.withColumn("starts", F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(True)))
+    t = t.withColumn("window", F.sum(F.col("starts").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    t = t.withColumn("seg", F.concat(F.lit("<s>[INST]"), escaped(F.col("role")), F.lit("[/INST]"), escaped(F.col("text")), F.lit("</s>")))
+    # the windows that repeat a turn: those that start within the next few turns and have room for it and the turns between, and for a leading system
+    # turn all later ones
+    ahead = lambda c, k: F.lead(c, k).over(order)
+    between = lambda k: ahead("end", k) - ahead("n_tok", k) - F.col("end") + F.col("n_tok")
+    later = F.array(*[F.when(ahead("starts", k) & (between(k) <= ahead("left", k)), ahead("window", k)) for k in range(1, history + 1)]) if history else F.array().cast("array<bigint>")
+    t = t.withColumn("near", F.filter(later, lambda w: w.isNotNull()))
     new = t.select("conv_id", "window", F.lit(True).alias("new"), "pos", "role", "seg", "text")
     near = t.where(~is_system & (F.size("near") > 0)).select("conv_id", F.explode("near").alias("window"), F.lit(False).alias("new"), "pos", "role", "seg", "text")
     # the rows that start a window carry the system turn's text forward, so no task needs a conversation's rows at once
     lead_in = t.withColumn("head", F.first(F.when(is_system, F.col("seg"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lead_in = lead_in.withColumn("before", F.lag("window").over(order)).where("head IS NOT NULL AND before IS NOT NULL AND before <> window")
+    lead_in = lead_in.where("head IS NOT NULL AND pos > 0 AND starts")
     system = lead_in.select("conv_id", "window", F.lit(False).alias("new"), F.lit(0).alias("pos"), F.lit("system").alias("role"), F.col("head").alias("seg"), F.lit("").alias("text"))
     parts = new.unionByName(near).unionByName(system)
     part = F.struct(F.col("pos"), F.col("new"), F.col("role"), F.col("seg"), (F.length("seg") - F.length(escaped(F.col("text"))) - 4).alias("lead"))
@@ -104,18 +116,21 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 o AS (
-  SELECT *, row_number() OVER c - 1 AS pos, sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 4) OVER c AS e,
+  SELECT *, row_number() OVER c - 1 AS pos, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tok, sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 4) OVER c AS e,
          20 + length(role) + length(text)
            + len(regexp_extract_all(role || chr(1) || text, '\\|</?s>|\[/?INST\]|<</?SYS>>')) AS chars
   FROM t WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-w AS (SELECT *, CAST((e - 1) // 1024 AS BIGINT) AS win FROM o),
+a AS (
+  SELECT *, pos = 0 AND role = 'system' AS sys, coalesce(max(e) FILTER (pos = 0 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS aside FROM o),
+c AS (SELECT *, greatest(768 - aside, 1) AS room, CAST((e - 1) // greatest(768 - aside, 1) AS BIGINT) AS cell FROM a),
+v AS (SELECT *, 2 * cell + CASE WHEN sum(tok) OVER (PARTITION BY conv_id, cell) > room AND e - tok < cell * room THEN 0 ELSE 1 END AS win FROM c),
+w AS (SELECT *, 1024 - aside - sum(tok) OVER (PARTITION BY conv_id, win) AS free FROM v),
 n AS (
-  SELECT *, lead(win, 1) OVER c AS w1, lead(win, 2) OVER c AS w2, pos = 0 AND role = 'system' AS sys,
-         count(*) FILTER (pos = 0 AND role = 'system') OVER (PARTITION BY conv_id) AS has_sys
-  FROM w WINDOW c AS (PARTITION BY conv_id ORDER BY pos)),
+  SELECT a.*, (SELECT count(*) FROM w b LEFT JOIN w p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.pos = b.pos - 1
+               WHERE b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.pos IN (a.pos + 1, a.pos + 2) AND b.win <> p.win AND b.e - b.tok - a.e + a.tok <= b.free) AS repeats
+  FROM w a),
 s AS (
-  SELECT conv_id, sum(chars) AS base,
-         sum(CASE WHEN NOT sys THEN chars * ((w1 IS NOT NULL AND w1 <> win)::INT + (w2 IS NOT NULL AND w2 <> win AND w2 <> w1)::INT) ELSE 0 END) AS near,
+  SELECT conv_id, sum(chars) AS base, sum(CASE WHEN NOT sys THEN chars * repeats ELSE 0 END) AS near,
          coalesce(sum(chars) FILTER (sys), 0) * (count(DISTINCT win) - 1) AS system
   FROM n GROUP BY conv_id)
 SELECT s.conv_id, count(*) AS n_turns,
