@@ -98,7 +98,7 @@ class HashIndex:
     def probed(self, rows: DataFrame) -> DataFrame:
         """Rows (KEY, _dedup_sha, ...) with the link, keep_id and group_size that their bucket's chain holds for them."""
         chains = self.entries.select("bucket", KEY, "_dedup_sha", "link", "keep_id", "group_size", F.col("group_size").alias("held"))
-        found = looked_up(self.addressed(rows), chains, ["bucket", KEY, "_dedup_sha"], self.n, 128)
+        found = looked_up(self.addressed(rows), chains, ["bucket", KEY, "_dedup_sha"], self.n, 224)
         lost = F.raise_error(F.concat(F.lit("the index lacks a row of key "), F.col(KEY).cast("string"))).cast("int")
         return found.withColumn("link", F.coalesce("link", lost))
 
