@@ -41,17 +41,14 @@ class Network:
     out_bias: np.ndarray
 
 
-def windows_of(texts: Sequence[bytes], limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all windows of all texts, padded, and the text of each. With a limit, that many evenly spread ones per text."""
+def windows_of(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all windows of all texts, padded, and the text of each."""
     rows, of = [], []
     for i, text in enumerate(texts):
         c = _CLASS[np.frombuffer(text, np.uint8)].astype(np.uint8)
         n = -(-len(c) // WINDOW)
-        c = np.pad(c, (0, n * WINDOW - len(c))).reshape(n, WINDOW)
-        if limit and n > limit:
-            c = c[np.linspace(0, n - 1, limit).astype(int)]
-        rows.append(c)
-        of.append(np.full(len(c), i))
+        rows.append(np.pad(c, (0, n * WINDOW - len(c))).reshape(n, WINDOW))
+        of.append(np.full(n, i))
     return (np.concatenate(rows), np.concatenate(of)) if rows else (np.empty((0, WINDOW), np.uint8), np.empty(0, int))
 
 
@@ -59,7 +56,7 @@ def train(texts: Sequence[bytes], labels: Sequence[str], epochs: int = 8, batch:
     """Adam on the cross entropy. Besides whole windows it sees beginnings of random length, so short texts are at home too."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    x, of = windows_of(texts, 4)
+    x, of = windows_of(texts)
     y = np.array([languages.index(v) for v in labels])[of]
     short = x.copy()
     short[np.arange(WINDOW)[None, :] >= rng.integers(4, 80, len(x))[:, None]] = 0
@@ -150,43 +147,45 @@ class Applied:
         return [self.net.languages[k] for k in best], q[np.arange(len(q)), best]
 
 
-def training_rows(docs: DataFrame, per_language: int, max_languages: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
-    """The bounded sample that the network learns from: the per_language documents of each language with the smallest id hash.
+def training_windows(docs: DataFrame, per_language: int, windows: int, max_languages: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
+    """The bounded sample that the network learns from: windows of the per_language documents of each language with the smallest id hash.
 
     Only documents whose crc32(id as text) mod 3 is not 1 take part. The first pass reads ids and languages alone. More than
-    max_languages languages are refused. Of an id and language's different texts the first four are taken.
+    max_languages languages are refused. Whole texts are cut into windows, and of these each document gives one, then
+    a second, and so on, in the order of a hash, until a language has as many as `windows` or no more; repeated rows count once.
     """
     ids = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     held = ids.groupBy("lang").agg(F.countDistinct("id").alias("n")).orderBy("lang").limit(max_languages + 1).collect()
     if len(held) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    if not held:
+        return []
     # the smallest hashes of a large language all lie below twice their expected place, so few rows reach the window
-    below = F.create_map(*[F.lit(x) for r in held for x in (r["lang"], 2.0**64 * min(1.0, (2 * per_language + 64) / r["n"]) - 2.0**63)])[F.col("lang")] if held else F.lit(0.0)
-    ids = ids.where(F.xxhash64("id") <= below)
+    below = F.create_map(*[F.lit(x) for r in held for x in (r["lang"], 2.0**64 * min(1.0, (2 * per_language + 64) / r["n"]) - 2.0**63)])[F.col("lang")]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = ids.distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).limit(per_language * max_languages).collect()
-    if not chosen:
-        return []
-    wanted = sorted({r["id"] for r in chosen})
-    rows = docs.where(F.col(id_col).isin(wanted) & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # a training window needs no more than the evenly spread windows of a text, so long texts are cut down on the way to the driver
-    seen = rows.select("id", "lang", F.when(F.length("text") <= 8 * WINDOW, F.col("text")).otherwise(F.concat_ws("", *[F.expr(f"substring(text, 1 + CAST({k} * (length(text) - {WINDOW}) / 7 AS INT), {WINDOW})") for k in range(8)])).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("id", "lang").orderBy("text"))
-    got = seen.distinct().withColumn("nth", nth).where("nth <= 4").orderBy("id", "lang", "text").collect()
-    return [(r["text"].encode(), r["lang"]) for r in got]
-
-
-def identified(docs: DataFrame, per_language: int = 400, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
+    chosen = ids.where(F.xxhash64("id") <= below).distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("data"))
+    rows = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # at most per_language rows a language
+    cut = rows.select("id", "lang", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length("data") / WINDOW).cast("int") - 1), lambda i: F.substring("data", i * WINDOW + 1, WINDOW))).alias("at", "window")).distinct()
+    cut = cut.withColumn("order", F.xxhash64("id", "at", "window"))
+    nth = F.row_number().over(Window.partitionBy("id", "lang").orderBy("order", "at", "window"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("nth", "order", "id", "at", "window"))
+    got = cut.withColumn("nth", nth).withColumn("place", place).where(F.col("place") <= windows).select("window", "lang", "place").collect()
+    return [(bytes(r["window"]), r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["place"]))]
+
+
+def identified(docs: DataFrame, per_language: int = 400, windows: int = 1600, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
     """The rows of `docs`, or of them the columns `carry`, with held_out, lang_pred and score.
 
     lang_pred is a language seen in training; `und` with score 0 where the text is null or has no letter, and for all rows where there is
     nothing to learn from. All windows of a text count, however long it is; repeated rows get the same answer each. Labels of more than
-    max_languages languages raise a ValueError.
+    max_languages languages raise a ValueError. The sample to learn from is bounded by per_language documents and `windows` windows of a language. Columns
+    of the input that are named held_out, lang_pred or score give way to the answer's. An empty table gives no rows.
     """
     spark = docs.sparkSession
     batches(spark)
-    rows = training_rows(docs, per_language, max_languages, id_col, text_col, lang_col)
+    rows = training_windows(docs, per_language, windows, max_languages, id_col, text_col, lang_col)
     net = train([t for t, _ in rows], [v for _, v in rows]) if rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +201,8 @@ def identified(docs: DataFrame, per_language: int = 400, max_languages: int = 20
 
     lettered = F.when(F.col(text_col).rlike("\\p{L}"), F.col(text_col).cast("binary"))
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-    own = {"held_out", "lang_pred", "score", "_bytes"}  # these columns of the input give way to the answer's
-    kept = docs.select(*(c for c in (docs.columns if carry is None else carry) if c.lower() not in own), held_out.alias("held_out"), lettered.alias("_bytes"))
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("held_out", "lang_pred", "score")]
+    data = "_" * (1 + max(map(len, carried), default=0))  # no carried name is as long
+    kept = docs.select(*carried, held_out.alias("held_out"), lettered.alias(data))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -125,15 +125,56 @@ def test_language_id(docs, none):
 def test_languages_are_all_learned_or_refused(spark):
     many = spark.range(12).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
     with pytest.raises(ValueError):
-        language_id.training_rows(many, 5, 3, "doc_id", "text", "lang")
+        language_id.training_windows(many, 5, 100, 3, "doc_id", "text", "lang")
     # xx: 9 ids of 300 rows each; yy: as many ids, once each
     few = spark.range(300 * 9).select((F.col("id") % 9).alias("doc_id"), F.lit("quelques mots").alias("text"), F.lit("xx").alias("lang"))
     few = few.unionByName(spark.range(100, 109).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("yy").alias("lang")))
     want = [i for i in [*range(9), *range(100, 109)] if zlib.crc32(str(i).encode()) % 3 != 1]
-    got = language_id.training_rows(few, 5, 3, "doc_id", "text", "lang")
+    got = language_id.training_windows(few, 5, 100, 3, "doc_id", "text", "lang")
     assert [sum(v == x for _, v in got) for x in ("xx", "yy")] == [min(5, sum(i < 9 for i in want)), min(5, sum(i >= 9 for i in want))]
 
 
+def test_all_parts_of_a_text_are_learned_from(spark):
+    """Windows come from whole texts: each document gives one before any gives a second, and with room for all, all are there."""
+    texts = {i: "".join(f"{i:03d}-{k:04d} " for k in range(9 + 300 * (i % 3))) for i in range(12) if zlib.crc32(str(i).encode()) % 3 != 1}
+    d = spark.createDataFrame([(i, f"a{t}", "xx") for i, t in texts.items()], "doc_id long, text string, lang string")
+    whole = {f"a{t}"[k : k + 128].encode() for t in texts.values() for k in range(0, len(t) + 1, 128)}
+    got = language_id.training_windows(d, 20, 10_000, 3, "doc_id", "text", "lang")
+    assert {w for w, _ in got} == whole and len(got) == len(whole)
+    few = [w for w, _ in language_id.training_windows(d, 20, len(texts), 3, "doc_id", "text", "lang")]
+    assert sorted(int(re.search(rb"(\d{3})-", w)[1]) for w in few) == sorted(texts)
+
+
+def test_language_query_is_the_network(spark):
+    """The query's answers are those of the network, worked out filter by filter for each window of each text."""
+    from loomgraph.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = language_id.training_windows(docs, 400, 1600, 200, "doc_id", "text", "lang")
+    net = language_id.train([t for t, _ in rows], [v for _, v in rows])
+    got = {r.doc_id: r for r in registry.op3_language_id(spark, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts)[:60]:
+        data = (texts[i] or "").encode()
+        if not re.search(r"[^\W\d_]", texts[i] or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        total, mass = 0, 0
+        for k in range(0, len(data), 128):
+            c = language_id._CLASS[np.frombuffer(data[k : k + 128], np.uint8)]
+            n, c = len(c), np.pad(c, (0, 128 - len(c)))
+            pooled = [max(sum(f[j][c[at + j]] for j in range(w))[m] for at in range(129 - w)) for f, w in zip(net.filters, language_id.WIDTHS) for m in range(language_id.FILTERS)]
+            z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+            total, mass = total + n * (z - z.max() - np.log(np.exp(z - z.max()).sum())), mass + n
+            if k > 2000:
+                break
+        if k <= 2000:
+            p = np.exp(total / mass - (total / mass).max())
+            assert got[i].lang_pred == net.languages[int(p.argmax())] and abs(got[i].score - (p / p.sum()).max()) < 1e-3
+
+
 def test_pipeline_keeps_unlabelled_documents(docs):
     import corpus_pipeline as p
 
