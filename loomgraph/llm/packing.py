@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -194,11 +195,12 @@ def _packed(items: DataFrame, n: int, size: int, per_partition: int, turn: int)
     return dealt.groupBy("part").applyInPandas(pack, "uid long, id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long, gap long")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = 1 << 16, rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = 1 << 16) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
     Null texts count as empty; a document always has its end token, so none is without pieces. Repeated rows and ids are
-    packed as often as they occur, null ids too. An empty table gives no rows. certified: the piece's partition met its bound.
+    packed as often as they occur, null ids too. An empty table gives no rows. certified: the piece's partition met its bound. Partitions with a gap
+    exchange documents until a round saves no bin.
     """
     spark = docs.sparkSession
     batches(spark)
@@ -206,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, id_
     items = scratch.written(pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
     current = scratch.written(_packed(items, items.count(), size, per_partition, 0), "packed")
     settled: list[DataFrame] = []
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         roomy = (F.col("fill") < size) & ((F.col("gap") > 0) | (F.col("fill") <= size - size // 8))
         pool = current.where(roomy)
         n, before = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
