@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, small
+from .common import Scratch, batches, looked_up, small
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -87,12 +87,18 @@ def fingerprints_of(texts: list[bytes | None], width: int = 4, chunk: int = 200_
     return out
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, hash) per row; hash tells different texts apart."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(1).to_pylist(), width).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(2).to_pylist(), width).view(np.int64)), b.column(1)], names=["id", "fp", "hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long, hash long")
 
 
 def _alike(x: np.ndarray, bits: int, min_shared: int) -> np.ndarray:
@@ -195,6 +201,18 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     raise RuntimeError("the links did not settle")
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> tuple[DataFrame, DataFrame, int, Scratch]:
+    """(id, fp, hash) per row; (fp, root, held) per distinct fingerprint, held being its rows; their number."""
+    batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.written(fingerprints(docs, width, id_col, text_col), "rows")
+    classes = scratch.written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("held")), "classes")
+    n = classes.count()
+    linked = components(links(classes.select("fp"), n, bits), scratch)
+    of = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "held", F.coalesce("root", "fp").alias("root"))
+    return rows, scratch.written(of, "roots"), n, scratch
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
     """One row per input row: id, fingerprint, component_id.
 
@@ -202,25 +220,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each. component_id is the smallest non-null id among all rows that links reach, null only if there is none. An empty table gives no
     rows, and further columns are ignored.
     """
-    spark = docs.sparkSession
-    batches(spark)
-    scratch = Scratch(spark, "simhash")
-    rows = scratch.written(fingerprints(docs, width, id_col, text_col), "rows")
-    classes = scratch.written(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    n = classes.count()
-    linked = components(links(classes, n, bits), scratch)
-    of = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = scratch.written(of, "roots")
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    many = scratch.written(ids.where("n > 1").select("root", "component_id"), "components")
-    of = of.join(small(many, many.count(), 32), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(of, "fp")
+    rows, of, n, scratch = _components(docs, id_col, text_col, width, bits)
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    many = scratch.written(ids.where("classes > 1"), "components")
+    of = looked_up(of, many.withColumnRenamed("classes", "fps"), ["root"], many.count(), 48, held="fps").select("fp", "held", F.coalesce("component_id", "least").alias("component_id"))
+    out = looked_up(rows, scratch.written(of, "answers"), ["fp"], n, 64)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is that of their component; of rows that repeat that id, each stays."""
-    scratch = Scratch(docs.sparkSession, "simhash-heads")
-    heads = near_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_simhash_head")).distinct()
-    heads = scratch.written(heads, "heads")
-    return docs.join(small(heads, heads.count(), 16), F.col(id_col).eqNullSafe(F.col("_simhash_head")), "left_semi")
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest id (null last), then the smallest text hash.
+
+    Null and empty texts are alike. Rows that repeat id and text may differ in other columns; one stands for all. An empty table gives no rows. The input's
+    columns are held in one, so no name can clash.
+    """
+    rows, of, n, scratch = _components(docs, id_col, text_col, width, bits)
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"))).alias("least"))
+    heads = of.select("fp", "root").join(best, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    # held: rows alike, so that only those that are repeated need another look
+    heads = scratch.written(heads.select(F.col("least.id").alias("h_id"), F.col("least.hash").alias("h_hash")), "heads")
+    alike = rows.groupBy(F.col("id").alias("h_id"), F.col("hash").alias("h_hash")).agg(F.count("*").alias("alike")).where("alike > 1")
+    alike = scratch.written(alike, "alike")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own"), F.col(id_col).cast("long").alias("k_id"), _text_hash(text_col).alias("k_hash"))
+    on = lambda t: F.col("k_id").eqNullSafe(t["h_id"]) & (F.col("k_hash") == t["h_hash"])
+    kept = own.join(small(heads, n, 24), on(heads), "left_semi")
+    repeated = small(alike, alike.count(), 32)
+    single = kept.join(repeated, on(alike), "left_anti").select("own")
+    many = kept.join(repeated, on(alike), "left_semi").groupBy("k_id", "k_hash").agg(F.first("own").alias("own")).select("own")
+    return single.unionByName(many).select("own.*")

@@ -111,6 +111,8 @@ def test_near_dedup(docs, none):
     heads = simhash.one_per_component(docs)
     assert heads.columns == docs.columns and {1, 2, 6} <= {r.doc_id for r in heads.collect()} and 9 not in {r.doc_id for r in heads.collect()}
     assert simhash.near_dedup(none).count() == 0 and simhash.one_per_component(none).count() == 0
+    repeated = frame(docs.sparkSession, [(1, LONG, "en", "a"), (5, LONG, "en", "a"), (5, "another text of some words", "en", "a"), (5, "another text of some words", "fr", "b"), (None, "a third text with other words", None, None)])
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in simhash.one_per_component(repeated).collect()) == [(0, "a third"), (1, LONG[:7]), (5, "another")]
 
 
 def test_language_id(docs, none):
