@@ -2,8 +2,8 @@
 
 A page is an HTTP response with chunked transfer framing. A record whose block exceeds `segment` bytes is cut: the first part is the record itself,
 the others are continuation records that name its identifier as their origin and carry a segment number; the last one
-states the total length. Archives are gzip members, one per record, and are written by the tasks to the shared folder under names
-that depend on the task's partition alone, first under a passing name, so a task that runs again replaces its own file.
+states the total length. Archives are gzip members, one per record, and are written by the tasks to the shared folder under names that no other
+attempt of a task has. The manifest, whose rows are those of the attempts that counted, names the archives; only these are read.
 
 Reading splits archives into records, groups the parts of cut records by origin identifier, orders them by segment number, verifies that
 the numbers have no gap and the lengths add up to the total, and decodes the chunked framing.
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, small
+from .common import Scratch, batches, looked_up
 
 MIN_REVISIT = 100
 _CRLF = b"\r\n"
@@ -104,19 +104,22 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
 
 
 def write_archives(pages: DataFrame, folder: str, segment: int = 32_768, archive_bytes: int = 4 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Writes the archives and returns (path, records) of each.
+    """Writes the archives and returns their manifest, (path, records) of each.
 
     Null payloads are empty. Of equal payloads of min_revisit bytes or more, rows with the smallest id are responses (repeated rows of that id all
-    are), the others revisits; null ids come last. Payloads count as equal by length and SHA-256.
+    are), the others revisits; null ids come last. Payloads count as equal by length and SHA-256. Further columns are ignored.
+
+    Digests are compared on slim rows. The pages meet the repeated digests by a broadcast; only where these exceed the bound are payloads
+    shuffled, and then those of a digest that many pages have are dealt to several tasks.
     """
     spark = pages.sparkSession
     batches(spark)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     digests = pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
-    same = digests.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("id").alias("original"), F.count("*").alias("rows"))
-    same = Scratch(spark, "warc-digests").written(same.where("rows > 1 AND original IS NOT NULL").select("digest", "original"), "same")
+    same = digests.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("id").alias("original"), F.count("*").alias("held"))
+    same = Scratch(spark, "warc-digests").written(same.where("held > 1 AND original IS NOT NULL"), "same")
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    p = p.join(small(same, same.count(), 96), "digest", "left")
+    p = looked_up(p, same, ["digest"], same.count(), 160, per_task=1 << 14)
     p = p.select("id", "url", "payload", "digest", F.when(F.col("original").eqNullSafe(F.col("id")), None).otherwise(F.col("original")).alias("original"))
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +131,11 @@ def write_archives(pages: DataFrame, folder: str, segment: int = 32_768, archive
         held, size, count, n, row = [], 0, 0, 0, 0
 
         def closed() -> pa.RecordBatch:
-            name = f"{at}/part-{part:06d}-{n:05d}.warc.gz"
-            passing = f"{at}/.passing-{part:06d}-{n:05d}-{attempt}"
-            with store.open_output_stream(passing, compression=None) as f:
+            name = f"part-{part:06d}-{n:05d}-{attempt}.warc.gz"
+            with store.open_output_stream(f"{at}/{name}", compression=None) as f:
                 for x in held:
                     f.write(x)
-            store.move(passing, name)
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}-{n:05d}.warc.gz"]), pa.array([count], pa.int64())], names=["path", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], names=["path", "records"])
 
         for b in rows:
             for page_id, url, data, digest, original in zip(*(c.to_pylist() for c in b.columns)):
@@ -169,20 +170,32 @@ def _page(fields: dict[str, str], block: bytes) -> tuple:
     return number("warc-page-id"), "response", len(payload), digest, None
 
 
-def read_archives(spark, folder: str, scratch: Scratch) -> DataFrame:
-    """(page_id, record_type, payload_bytes, payload_digest, refers_to) per response and revisit in a folder of archives."""
-    batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+def archives_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of every archive in a folder that has no manifest."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+
+
+def read_archives(archives: DataFrame, scratch: Scratch) -> DataFrame:
+    """(page_id, record_type, payload_bytes, payload_digest, refers_to) per response and revisit. archives: path.
+
+    Segments that are missing, repeated or of another total length, and payloads without their stated digest, raise a ValueError.
+    """
+    batches(archives.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("fields", pa.string()), ("block", pa.binary())])
 
     def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         def sent(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
         for b in rows:
-            for content in b.column(0):
+            for path in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at, compression=None) as f:
+                    content = f.read()  # an archive is at most archive_bytes and one page long
                 out: list[tuple] = []
-                for data in members(content.as_py()):
+                for data in members(content):
                     fields, block = parsed(data)
                     if "warc-segment-number" in fields:
                         total = fields.get("warc-segment-total-length")
@@ -198,12 +211,13 @@ def read_archives(spark, folder: str, scratch: Scratch) -> DataFrame:
                     yield sent(out)
 
     columns = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, origin string, number int, total long, fields string, block binary"
+    files = archives.select("path").repartition(F.col("path"))  # a small file each: its name is all that is shuffled
     parts = scratch.written(files.mapInArrow(split, columns), "records")
 
     def joined(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("number")
-        block = b"".join(g["block"])
-        if g["number"].tolist() != list(range(1, len(g) + 1)) or int(g["total"].iloc[-1]) != len(block):
+        block, total = b"".join(g["block"]), g["total"].iloc[-1]
+        if g["number"].tolist() != list(range(1, len(g) + 1)) or pd.isna(total) or int(total) != len(block):
             raise ValueError(f"segments of {g['origin'].iloc[0]} are missing, repeated or of another length")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in g["fields"].iloc[0].split("\n"))
         row = dict(zip(("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"), _page(fields, block)))
@@ -224,13 +238,14 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     written = scratch.written(write_archives(pages, folder, id_col=id_col, url_col=url_col, html_col=html_col), "manifest")
     if not written.limit(1).count():
         return spark.createDataFrame([], f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    back = scratch.written(read_archives(spark, folder, scratch), "pages")
-    found = back.where("record_type = 'response'").select(F.col("page_id").alias("_at"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
-    asked = back.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
-    found = found.join(small(asked, asked.count(), 96), (F.col("_at") == F.col("refers_to")) & (F.col("_digest") == F.col("payload_digest")), "left_semi")
-    found = scratch.written(found, "found")
-    out = back.join(small(found, found.count(), 96), (back["refers_to"] == found["_at"]) & (back["payload_digest"] == found["_digest"]), "left")
-    return out.select(F.col("page_id").alias(id_col), F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    back = scratch.written(read_archives(written, scratch), "pages")
+    keys = ["refers_to", "payload_digest"]
+    asked = back.where("record_type = 'revisit'").groupBy(*keys).agg(F.count("*").alias("held"))
+    found = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("own_bytes")).distinct()
+    found = scratch.written(asked.join(found, keys), "found")
+    revisits = looked_up(back.where("record_type = 'revisit'"), found, keys, found.count(), 160)
+    out = back.where("record_type = 'response'").withColumn("own_bytes", F.lit(None).cast("long")).unionByName(revisits)
+    return out.select(F.col("page_id").alias(id_col), F.coalesce("payload_bytes", "own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = r"""

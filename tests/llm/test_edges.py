@@ -287,6 +287,34 @@ def test_warc(spark):
     assert warc.unchunked(warc.chunked(b"", 4)) == b"" and warc.unchunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
 
 
+def test_warc_segments_are_verified(spark, tmp_path):
+    """Reassembly whatever the order of the records; missing, repeated and falsely summed segments and payloads are errors. Files beside the manifest are not read."""
+    import zlib as z
+
+    from loomgraph.llm.common import Scratch
+
+    payload = b"".join(b"%d " % i for i in range(9000))
+    good = warc.records_of(7, "http://a/", payload, hashlib.sha256(payload).hexdigest(), None, "name", 8192)
+    assert len(good) > 4
+
+    def read(records, name):
+        at = tmp_path / name
+        at.mkdir()
+        data = b"".join((c := z.compressobj(1, z.DEFLATED, 31)).compress(r) + c.flush() for r in records)
+        (at / "one.warc.gz").write_bytes(data)
+        (at / "stray.warc.gz").write_bytes(b"not an archive")
+        files = spark.createDataFrame([(f"file://{at}/one.warc.gz",)], "path string")
+        return [tuple(r) for r in warc.read_archives(files, Scratch(spark, "test")).collect()]
+
+    assert read(good[::-1], "reversed") == read(good, "in-order") == [(7, "response", len(payload), hashlib.sha256(payload).hexdigest(), None)]
+    false_total = good[:-1] + [re.sub(rb"Total-Length: \d+", b"Total-Length: 5", good[-1])]
+    no_total = good[:-1] + [re.sub(rb"WARC-Segment-Total-Length: \d+\r\n", b"", good[-1])]
+    other = warc.records_of(7, "http://a/", payload[::-1], hashlib.sha256(payload).hexdigest(), None, "name", 8192)
+    for name, records in {"missing": good[:2] + good[3:], "cut": good[:-1], "repeated": good + good[1:2], "total": false_total, "no-total": no_total, "payload": other}.items():
+        with pytest.raises(Exception, match="segments of|stated digest"):
+            read(records, name)
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.NET/en/x?y"), (2, "http://example.net/fr/"), (3, None), (4, "no host"), (5, "http://b.example.com/de/1"), (6, "http://x.org/fr/#a"), (7, "http://net"), (8, "http://planet/"), (9, "x://?a"), (1, "https://A.Example.NET/en/x?y"), (10, "ftp://a.b.net/" + "p" * 50_000)]
     p = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "score")})
@@ -342,3 +370,34 @@ def test_nearest(spark):
         assert own["rank"].tolist() == list(range(1, len(own) + 1)) and (np.diff(own.score) <= 1e-12).all()
     assert hit / total >= 0.9 and set(got[got.query_id == 0].vec_id[:2]) == {305, 306}
     assert ann.nearest(v.where("false")).count() == 0 and ann.nearest(v.where("vec_id IN (0, 1, 2)"), k=5).where("query_id = 0").count() == 2
+
+
+def test_nearest_probes_fewer_lists_than_there_are(spark, monkeypatch):
+    """Vectors in clusters: a few lists hold nearly all neighbours; the lists are cut into pieces and shares. Brute force gives the recall."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16)) * 3
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16))
+    told, real = [], ann.probes_for
+    monkeypatch.setattr(ann, "probes_for", lambda *a: told.append((len(a[2]), real(*a))) or told[-1][1])
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(v, sample=2000, piece=50, queries_per_task=16).toPandas()
+    lists, probes = told[0]
+    assert probes < lists / 2
+    scores = x[::20] @ x.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = {20 * i: set(np.argsort(-r, kind="stable")[:20].tolist()) for i, r in enumerate(scores)}
+    by = {q: set(g) for q, g in got.groupby("query_id")["vec_id"]}
+    assert np.mean([len(by[q] & w) / 20 for q, w in want.items()]) >= 0.9
+    assert np.allclose(got["score"], np.einsum("ij,ij->i", x[got["query_id"]], x[got["vec_id"]]))
+
+
+def test_scan_abandons_only_what_the_test_allows():
+    rng = np.random.default_rng(9)
+    q, v = rng.normal(size=(40, 65)), rng.normal(size=(3000, 65))
+    far = ((q[:, None] - v[None]) ** 2).sum(axis=2)
+    bounds = np.sort(far, axis=1)[:, 30]
+    a, b = ann.scan(q, bounds, v, 1e9, 20)
+    exact = {(i, int(j)) for i in range(40) for j in np.argsort(far[i])[:20]}
+    assert exact <= set(zip(a.tolist(), b.tolist())) and len(a) < 40 * 25
+    a, b = ann.scan(q, bounds, v, 2.8, 20)
+    assert len(exact & set(zip(a.tolist(), b.tolist()))) >= 0.97 * len(exact)
