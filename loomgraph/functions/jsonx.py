@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 
 from . import text as T
 
+#: The kinds that an extraction may name.
 RELATIONS = ["discusses", "exemplifies", "contrasts"]
 ENTITY_TYPES = ["person", "place", "text", "deity", "other"]
 _SCHEMA = "concepts array<struct<label:string,surface:string,relation:string,weight:string>>, entities array<struct<label:string,type:string,surface:string>>, summary string"
@@ -48,7 +49,7 @@ def parsed_extraction(raw: Column) -> Column:
     """struct<concepts, entities, summary>: at most 8 of each, weights within 0 to 1, unknown kinds replaced; all empty where nothing parses."""
     data = F.from_json(repaired(json_block(raw)), _SCHEMA)
     empty = lambda kind: F.array().cast(kind)
-    kinds = lambda x, known, other: F.when(F.lower(F.trim(x)).isin(known), F.lower(F.trim(x))).otherwise(other)
+    kinds = lambda x, known, other: F.when(F.lower(T.stripped(x)).isin(known), F.lower(T.stripped(x))).otherwise(other)
     concepts = F.transform(
         F.slice(data["concepts"], 1, 8),
         lambda c: F.struct(
@@ -62,7 +63,7 @@ def parsed_extraction(raw: Column) -> Column:
     return F.struct(
         F.coalesce(F.filter(concepts, lambda c: c["label"] != ""), empty("array<struct<label:string,surface:string,relation:string,weight:double>>")).alias("concepts"),
         F.coalesce(F.filter(entities, lambda e: e["label"] != ""), empty("array<struct<label:string,type:string,surface:string>>")).alias("entities"),
-        T.clipped_summary(F.trim(F.coalesce(data["summary"], F.lit("")))).alias("summary"),
+        T.clipped_summary(T.stripped(F.coalesce(data["summary"], F.lit("")))).alias("summary"),
     )
 
 

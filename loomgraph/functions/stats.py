@@ -55,11 +55,33 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
     return pd.Series([fisher_two_sided(*map(int, r)) for r in zip(a, b, c, d)])
 
 
+def _running(values: DataFrame, order: str, n: str, out: str, parts: int = 64) -> DataFrame:
+    """Adds the sum of `n` over all rows with a smaller `order`, whose values are distinct numbers.
+
+    The rows are dealt by ranges between quantiles, summed within each, and the ranges' totals, one row each, are added: no task holds all rows.
+    """
+    cuts = sorted(set(values.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if values.limit(1).count() else []
+    piece = F.lit(0)
+    for c in cuts:
+        piece = piece + (F.col(order) >= F.lit(c)).cast("int")
+    dealt = values.withColumn("_piece", F.when(F.col(order).isNull(), -1).otherwise(piece))
+    own = F.sum(n).over(Window.partitionBy("_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = dealt.groupBy("_piece").agg(F.sum(n).alias("_total"))
+    later = totals.select(F.col("_piece").alias("_of"), F.explode(F.sequence(F.col("_piece") + 1, F.lit(len(cuts) + 1))).alias("_piece"), "_total")
+    before = later.groupBy("_piece").agg(F.sum("_total").alias("_before"))
+    got = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(F.broadcast(before), "_piece", "left")  # a row per range
+    return got.withColumn(out, F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_piece", "_own", "_before")
+
+
+def positions(values: DataFrame, order: str, out: str) -> DataFrame:
+    """Adds the place, from 0, of each row in the order of a column of distinct numbers."""
+    return _running(values.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).drop("_one")
+
+
 def midranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Average ranks for ties, from value counts: the running sum is over distinct values, not rows."""
-    values = df.groupBy(col).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = values.select(F.col(col).alias("_v"), (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    values = _running(df.groupBy(col).agg(F.count("*").alias("_n")), col, "_n", "_below")
+    ranks = values.select(F.col(col).alias("_v"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, df[col].eqNullSafe(ranks["_v"])).drop("_v")
 
 

@@ -1,8 +1,9 @@
-"""Text functions as column expressions. Only Unicode normalisation and passage trimming need Python (Arrow batches)."""
+"""Text functions as column expressions. Only Unicode normalisation needs Python (Arrow batches)."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,16 @@ BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 _EDGE = "-.,;:!?\"'`"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; a lambda computes what it captures again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def stripped(text: Column) -> Column:
+    """Without Unicode white space at either end; Spark's trim takes spaces alone."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_ws(text: Column) -> Column:
     """Runs of Unicode white space become one space; ends are stripped."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -32,11 +43,11 @@ def normalize_text(text: Column) -> Column:
 
 
 def meaningful(text: Column, min_chars: int = 20) -> Column:
-    return text.isNotNull() & (F.length(text) >= min_chars) & ~F.trim(text).isin(ARROWS)
+    return text.isNotNull() & (F.length(text) >= min_chars) & ~stripped(text).isin(ARROWS)
 
 
 def roman_to_int(s: Column) -> Column:
-    up = F.upper(F.trim(s))
+    up = F.upper(stripped(s))
     table = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
     return F.coalesce(table[up], up.try_cast("int"), F.lit(0))
 
@@ -51,7 +62,7 @@ def bengali_to_int(s: Column) -> Column:
 
 
 def _kept(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(parts, stripped), lambda x: F.length(x) > 0)
 
 
 def sentences_bn(text: Column) -> Column:
@@ -68,7 +79,7 @@ def sentences(text: Column, lang: Column) -> Column:
 
 def sentence_kept(s: Column) -> Column:
     """At least three words or 25 characters."""
-    return (F.size(F.split(F.trim(s), r"\s+")) >= 3) | (F.length(s) >= 25)
+    return (F.size(F.split(stripped(s), r"(?U)\s+")) >= 3) | (F.length(s) >= 25)
 
 
 def detect_lang(text: Column) -> Column:
@@ -82,13 +93,13 @@ def _stripped(s: Column) -> Column:
 
 def concept_label(s: Column) -> Column:
     """Lower case, hyphens for white space and underscores; empty if under 2 or over 60 characters."""
-    x = F.regexp_replace(F.lower(F.trim(F.coalesce(s, F.lit("")))), r"[\s_]+", "-")
+    x = F.regexp_replace(F.lower(stripped(F.coalesce(s, F.lit("")))), r"(?U)[\s_]+", "-")
     x = _stripped(F.regexp_replace(x, "-+", "-"))
     return F.when(F.length(x).between(2, 60), x).otherwise("")
 
 
 def entity_label(s: Column) -> Column:
-    x = _stripped(F.regexp_replace(F.trim(F.coalesce(s, F.lit(""))), r"\s+", " "))
+    x = _stripped(F.regexp_replace(stripped(F.coalesce(s, F.lit(""))), r"(?U)\s+", " "))
     return F.when(F.length(x).between(2, 80), x).otherwise("")
 
 
@@ -126,6 +137,21 @@ def truncated(text: Column, n: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
 
 
+def chapter_summary(text: Column, n: int = 600) -> Column:
+    """A model's summary of a chapter without the quotes around it, at most n characters."""
+    return F.substring(stripped(F.regexp_replace(stripped(text), '^"+|"+$', "")), 1, n)
+
+
+def known_item_query(title: Column, first_paragraph: Column, n: int = 600) -> Column:
+    """The text that a chapter is asked for by."""
+    return F.substring(F.concat(title, F.lit(". "), first_paragraph), 1, n)
+
+
+def eta_minutes(done: Column, total: Column, seconds: Column) -> Column:
+    """Minutes left at the rate so far."""
+    return (total - done) / F.greatest(done / F.greatest(seconds, F.lit(1e-6)), F.lit(1e-6)) / 60
+
+
 def clipped_summary(text: Column, n: int = 400) -> Column:
     """Over n characters: cut at the last space within them."""
     head = F.substring(text, 1, n)
@@ -146,7 +172,7 @@ def distinct_queries(queries: Column, most: int = 4) -> Column:
 
 
 def offered_labels(picked: Column, offered: Column, most: int = 6) -> Column:
-    return F.slice(F.array_intersect(F.transform(picked, lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("-"))), offered), 1, most)
+    return F.slice(F.array_intersect(F.transform(picked, lambda x: F.replace(F.lower(stripped(x)), F.lit(" "), F.lit("-"))), offered), 1, most)
 
 
 def html_escaped(text: Column) -> Column:
@@ -167,37 +193,38 @@ def utc_now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def trimmed(text: str, matched: str, most: int) -> str:
-    """A passage of about `most` characters around the matched sentence, which is never cut; ends fall on words if one is near."""
-    text = text.strip()
-    if len(text) <= most:
-        return text
-    at = text.find(matched) if matched else -1
-    lo, hi = 0, most
-    if at >= 0 and len(matched) >= most:
-        lo, hi = at, at + len(matched)
-    elif at >= 0:
-        lo = max(0, at - (most - len(matched)) // 2)
-        hi = min(len(text), lo + most)
-        lo = max(0, hi - most)
-    before, after = "", ""
-    if lo > 0:
-        space = text.find(" ", lo, hi)
-        if 0 < space - lo < 40 and (at < 0 or space < at):
-            lo = space + 1
-        before = "… "
-    if hi < len(text):
-        space, shown = text.rfind(" ", lo, hi), len(before) + hi - lo
-        ends = len(before) + at - lo + len(matched) if at >= 0 else -1
-        if space < 0 and before:  # the mark's own space counts as one
-            space = lo - 1
-        place = len(before) + space - lo
-        if place > 0 and shown - place < 40 and place > ends:
-            hi = max(space, lo)
-        after = " …"
-    return before + text[lo:hi] + after
-
-
-@F.pandas_udf(StringType())
-def trim_passage(text: pd.Series, matched: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else trimmed(t, m or "", int(n)) for t, m, n in zip(text, matched, most)], dtype=object)
+def trim_passage(text: Column, matched: Column, most: Column, near: int = 40) -> Column:
+    """At most about `most` characters of a passage, marked where something is left out.
+
+    A window of `most` characters centred on the first place of the matched sentence, shifted to lie within the text; the head where there is no such
+    place; the sentence alone where it is as long as the window. An end that lies within a word moves to the next space inside the window if that is less than
+    `near` characters away and outside the sentence. Null texts give null.
+    """
+    s = F.struct(stripped(text).alias("t"), F.coalesce(matched, F.lit("")).alias("m"), most.cast("int").alias("most"))
+
+    def placed(s: Column) -> Column:
+        at = F.when(F.length(s["m"]) > 0, F.instr(s["t"], s["m"]) - 1).otherwise(F.lit(-1))
+        return F.struct(s["t"], s["m"], s["most"], F.length(s["t"]).alias("size"), F.length(s["m"]).alias("length"), at.alias("at"))
+
+    def windowed(s: Column) -> Column:
+        held, whole = s["at"] >= 0, (s["at"] >= 0) & (s["length"] >= s["most"])
+        centred = F.greatest(F.least(F.greatest(s["at"] - F.floor((s["most"] - s["length"]) / 2).cast("int"), F.lit(0)), s["size"] - s["most"]), F.lit(0))
+        lo = F.when(whole, s["at"]).when(held, centred).otherwise(0)
+        length = F.when(whole, s["length"]).otherwise(s["most"])
+        return F.struct(s["t"], s["size"], s["at"], s["length"], lo.alias("lo"), (lo + length).alias("hi"), F.substr(s["t"], lo + 1, length).alias("part"))
+
+    def begun(s: Column) -> Column:
+        # the first space of the window, counted from 0
+        space = F.instr(s["part"], F.lit(" ")) - 1
+        skip = F.when((s["lo"] > 0) & (space > 0) & (space < near) & ((s["at"] < 0) | (s["lo"] + space < s["at"])), space + 1).otherwise(0)
+        mark = F.when(s["lo"] > 0, "… ").otherwise("")
+        end = F.when(s["at"] >= 0, s["at"] - s["lo"] - skip + s["length"] + F.length(mark)).otherwise(-1)
+        return F.struct(s["size"], s["hi"], F.concat(mark, F.substr(s["part"], skip + 1)).alias("shown"), end.alias("end"))
+
+    def ended(s: Column) -> Column:
+        # the last space, and whether the sentence ends before it
+        last = F.length(s["shown"]) - F.instr(F.reverse(s["shown"]), F.lit(" "))
+        cut = s["shown"].contains(" ") & (last > 0) & (F.length(s["shown"]) - last < near) & (last > s["end"])
+        return F.when(s["hi"] < s["size"], F.concat(F.when(cut, F.substr(s["shown"], F.lit(1), last)).otherwise(s["shown"]), F.lit(" …"))).otherwise(s["shown"])
+
+    return bound(bound(s, placed), lambda s: F.when(s["size"] <= s["most"], s["t"]).otherwise(bound(bound(bound(s, windowed), begun), ended)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -64,21 +64,31 @@ def chapters(blocks: DataFrame) -> DataFrame:
     return kept.select("id", "volume", T.volume_number(F.col("volume")).alias("volume_num"), "section", "chapter", "chapter_id", (F.row_number().over(order) - 1).alias("paragraph_idx"), "text", "offset", "anchor", "pos")
 
 
-def items(blocks: DataFrame, untitled: str = "(শিরোনামহীন)") -> DataFrame:
-    """Paragraph rows of pages in the second shape; the volume comes from the last marker heading before the container."""
+#: The heading that opens a volume of the second shape, its number, a volume's name, and the title of a chapter without one.
+VOLUME_MARK = (r"স্বামী\s+বিবেকানন্দ\s+সমগ্র\s+(খন্ড|খণ্ড)\s+[০-৯0-9]+", r"(?:খন্ড|খণ্ড)\s+([০-৯0-9]+)", "খণ্ড ")
+UNTITLED = "(শিরোনামহীন)"
+
+
+def items(blocks: DataFrame, mark: tuple[str, str, str] = VOLUME_MARK, untitled: str = UNTITLED) -> DataFrame:
+    """Paragraph rows of pages in the second shape; the volume comes from the last marker heading before the container, the first volume where there is none.
+
+    mark: pattern of a marker heading, pattern whose first group is its number, and what a volume's name starts with. Paragraphs outside of containers are left out.
+    """
     any_item = F.max((F.col("kind") == "item").cast("int")).over(Window.partitionBy("id"))
     b = blocks.withColumn("wanted", F.when(any_item == 1, "item").otherwise("block"))
-    marks = b.where((F.col("kind") == "h3") & F.col("text").rlike(r"স্বামী\s+বিবেকানন্দ\s+সমগ্র\s+(খন্ড|খণ্ড)\s+[০-৯0-9]+"))
-    number = F.regexp_extract("text", r"(?:খন্ড|খণ্ড)\s+([০-৯0-9]+)", 1)
-    marks = marks.select("id", F.col("offset").alias("start"), F.concat(F.lit("খণ্ড "), number).alias("volume"), T.bengali_to_int(number).alias("volume_num"))
+    marks = b.where((F.col("kind") == "h3") & F.col("text").rlike(mark[0]))
+    number = F.regexp_extract("text", mark[1], 1)
+    marks = marks.select("id", F.col("offset").alias("start"), F.concat(F.lit(mark[2]), number).alias("volume"), T.bengali_to_int(number).alias("volume_num"))
     own = Window.partitionBy("id", "container").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = F.first(F.when(F.col("kind") == F.col("wanted"), F.struct("anchor", "offset")), ignorenulls=True).over(own)
     title = F.first(F.when((F.col("kind") == "h2") & (F.length("text") > 0), F.col("text")), ignorenulls=True).over(own)
-    b = b.withColumns({"head": head, "chapter": F.coalesce(title, F.lit(untitled))}).where(F.col("head").isNotNull() & (F.col("kind") == "p") & T.meaningful(F.col("text")))
+    b = b.withColumns({"head": head, "chapter": F.coalesce(title, F.lit(untitled))})
+    inside = F.col("classes").rlike(r"(^|\s)in:bb-item(\s|$)") & (F.col("wanted") == "item") | F.col("classes").rlike(r"(^|\s)in:content-block(\s|$)") & (F.col("wanted") == "block")
+    b = b.where(F.col("head").isNotNull() & (F.col("kind") == "p") & inside & T.meaningful(F.col("text")))
     b = b.select("id", "container", "pos", "text", "offset", "anchor", "chapter", F.col("head.anchor").alias("chapter_id"), F.col("head.offset").alias("from"))
     b = b.withColumn("paragraph_idx", F.row_number().over(Window.partitionBy("id", "container").orderBy("pos")) - 1)
     found = asof(b, marks, "from", "start", ["id"], ["volume", "volume_num"])
-    return found.withColumns({"volume": F.coalesce("volume", F.lit("খণ্ড ১")), "volume_num": F.coalesce("volume_num", F.lit(1))})
+    return found.withColumns({"volume": F.coalesce("volume", F.lit(mark[2] + "১")), "volume_num": F.coalesce("volume_num", F.lit(1))})
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -88,10 +98,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return kept.select("doc_id", "lang", "source", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1).alias("paragraph_idx"), "text")
 
 
-def chapter_text(paras: DataFrame, keys: list[str], title: Column, cap: int = 16_384) -> DataFrame:
-    """(keys, text): the title, a blank line, and a chapter's paragraphs in order, cut to `cap` characters."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_idx", "text"))), lambda p: p["text"]), " ")
-    return paras.groupBy(*keys).agg(F.concat(F.first(title), F.lit("\n\n"), F.substring(body, 1, cap)).alias("text"))
+def chapter_text(paras: DataFrame, keys: list[str], title: Column, cap: int = 16_384, least: int = 20) -> DataFrame:
+    """(keys, text): the title, a blank line, and a chapter's paragraphs in order, cut to `cap` characters.
+
+    A paragraph has `least` characters or more, so only so many of a chapter's first ones can show, and no more are gathered.
+    """
+    shown = paras.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("paragraph_idx"))).where(F.col("_n") <= cap // (least + 1) + 1)
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1))
+    shown = shown.withColumn("_title", title).withColumn("_at", F.coalesce(before, F.lit(0))).where(F.col("_at") < cap)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda p: p["text"]), " ")
+    return shown.groupBy(*keys).agg(F.concat(F.min_by("_title", "_n"), F.lit("\n\n"), F.substring(body, 1, cap)).alias("text"))
 
 
 def first_n(paras: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
@@ -101,3 +117,27 @@ def first_n(paras: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 def paragraphs_dim(paras: DataFrame, chapters_: DataFrame, volumes: DataFrame, books: DataFrame) -> DataFrame:
     """The hierarchy joined once, to be written partitioned by language; the dimensions are left to the optimizer's size check."""
     return paras.join(chapters_, "chapter_id").join(volumes, "volume_id").join(books, "book_id")
+
+
+def loaded(rows: DataFrame, book: list[str], volume: list[str], chapter: list[str], paragraph: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Books, volumes, chapters and paragraphs of flat rows, each natural key once, with ids that depend on the keys alone.
+
+    A volume is known by its book and its own columns, a chapter by its volume's and its own; the ids are hashes of these.
+    """
+    of = lambda *keys: F.xxhash64(*[k for x in keys for k in x])
+    books = rows.select(of(book).alias("book_id"), *book).dropDuplicates(["book_id"])
+    volumes = rows.select(of(book, volume).alias("volume_id"), of(book).alias("book_id"), *volume).dropDuplicates(["volume_id"])
+    chapters_ = rows.select(of(book, volume, chapter).alias("chapter_id"), of(book, volume).alias("volume_id"), *chapter).dropDuplicates(["chapter_id"])
+    rest = [c for c in rows.columns if c not in {*book, *volume, *chapter}]
+    return books, volumes, chapters_, rows.select(of(book, volume, chapter).alias("chapter_id"), *rest).dropDuplicates([paragraph])
+
+
+def write_dim(dim: DataFrame, path: str) -> None:
+    """The joined hierarchy, one folder a language. dim: lang, ..."""
+    dim.write.mode("overwrite").partitionBy("lang").parquet(path)
+
+
+def read_dim(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
+    """The joined hierarchy; of one language alone its folder is read."""
+    dim = spark.read.parquet(path)
+    return dim.where(F.col("lang") == lang) if lang is not None else dim

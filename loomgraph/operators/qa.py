@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import text as T
+from .vectors import l2_normalised
 
 
 class Generator(Protocol):
@@ -55,11 +58,9 @@ def extracted(texts: DataFrame, make: Callable[[], Generator], prompt: Callable[
 
 def hashed_vectors(text: Column, dim: int = 64) -> Column:
     """Deterministic stand-in for an encoder: counts of hashed words, normalised. It carries no meaning."""
-    from .vectors import bound, l2_normalised
-
     slots = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
     counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double"))
-    return l2_normalised(bound(slots, counts))
+    return l2_normalised(T.bound(slots, counts))
 
 
 def lexical_score(query: Column, text: Column) -> Column:
@@ -73,7 +74,7 @@ def plans(raw: DataFrame, question: str = "question", output: str = "raw", offer
     raw = raw.withColumn("_plan", jsonx.parsed_plan(F.col(output)))
     p = F.col("_plan")
     q = T.distinct_queries(F.coalesce(p["timeless_queries"], F.array().cast("array<string>")))
-    return raw.withColumns({"ok": p.isNotNull(), "queries": q, "concepts": T.offered_labels(F.coalesce(p["concepts"], F.array().cast("array<string>")), F.col(offered)), "bridge_note": F.substring(F.coalesce(F.trim(p["bridge_note"]), F.lit("")), 1, 300), "lang": T.detect_lang(F.col(question))}).drop("_plan")
+    return raw.withColumns({"ok": p.isNotNull(), "queries": q, "concepts": T.offered_labels(F.coalesce(p["concepts"], F.array().cast("array<string>")), F.col(offered)), "bridge_note": F.substring(F.coalesce(T.stripped(p["bridge_note"]), F.lit("")), 1, 300), "lang": T.detect_lang(F.col(question))}).drop("_plan")
 
 
 def packed(blocks: DataFrame, keys: list[str], order: list, length: Column, budget: Column) -> DataFrame:
@@ -83,13 +84,93 @@ def packed(blocks: DataFrame, keys: list[str], order: list, length: Column, budg
     return b.where((F.col("n") == 1) | (F.col("used") <= budget))
 
 
-def prompts(hits: DataFrame, skeleton: int, max_context: int = 1200, max_prompt: int = 15_000) -> DataFrame:
-    """(question, prompt_sources, n_sources): numbered passages, best first, under the budget. hits: question, rank, lang, location, text, matched."""
-    h = hits.withColumn("passage", T.trim_passage("text", "matched", F.lit(max_context)))
+@dataclass(frozen=True)
+class Template:
+    """What stands around the sources of a prompt. `question`, `bridge`, `sources`, `language` and `opening` in braces are filled in."""
+
+    body: str = "Question: {question}\n{bridge}\nSources, each under its number:\n\n{sources}\n\nAnswer in {language} from these sources alone and cite them as [n]. {opening}\n\nQuestion: {question}"
+    bridge: str = "\nThe question's terms are modern. {note}"
+    related: str = " (related: {concepts})"
+    openings: tuple[str, str] = ("Answer directly.", "Begin with a sentence that leads from today's terms to the sources.")
+    languages: tuple[str, str] = ("English", "Bengali (বাংলা)")
+
+    def filled(self, **parts: Column) -> Column:
+        out = []
+        for i, piece in enumerate(re.split(r"\{(\w+)\}", self.body)):
+            out.append(parts[piece] if i % 2 else F.lit(piece))
+        return F.concat(*out)
+
+
+def prompts(hits: DataFrame, plans: DataFrame, template: Template = Template(), max_context: int = 1200, max_prompt: int = 15_000) -> DataFrame:
+    """(question, prompt, n_sources): the question, its bridge block and the numbered passages, best first, under the budget.
+
+    hits: question, rank, lang, location, text, matched; plans: question, bridge_note, concepts, lang. The budget is what the prompt without sources leaves; the first
+    source is always kept, and packing stops at the first that does not fit, so the sources are numbered from 1 without a gap.
+    """
+    note = F.coalesce("bridge_note", F.lit(""))
+    named = F.when(F.size("concepts") > 0, F.concat(F.lit(template.related.split("{concepts}")[0]), F.array_join("concepts", ", "), F.lit(template.related.split("{concepts}")[1]))).otherwise("")
+    before, after = template.bridge.split("{note}")
+    bridge = F.when(F.length(note) > 0, F.concat(F.lit(before), note, F.lit(after), named, F.lit("\n"))).otherwise("")
+    p = plans.select("question", bridge.alias("_bridge"), F.when(F.length(note) > 0, template.openings[1]).otherwise(template.openings[0]).alias("_opening"), F.when(F.col("lang") == "bn", template.languages[1]).otherwise(template.languages[0]).alias("_language"))
+    whole = lambda sources: template.filled(question=T.stripped(F.col("question")), bridge=F.col("_bridge"), sources=sources, language=F.col("_language"), opening=F.col("_opening"))
+    p = p.withColumn("_room", F.lit(max_prompt) - F.length(whole(F.lit(""))))
+    h = hits.withColumn("passage", T.trim_passage(F.col("text"), F.col("matched"), F.lit(max_context))).join(p, "question")
     name = F.when(F.col("lang") == "bn", "Bengali").otherwise("English")
     h = h.withColumn("block", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), name, F.lit(") "), F.col("location"), F.lit("\n"), F.col("passage")))
-    kept = packed(h, ["question"], ["rank"], F.length("block"), F.lit(max_prompt - skeleton))
-    return kept.groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("prompt_sources"), F.count("*").alias("n_sources"))
+    kept = packed(h, ["question"], ["rank"], F.length("block"), F.col("_room"))
+    blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("_sources")
+    rows = kept.groupBy("question", "_bridge", "_opening", "_language").agg(blocks, F.count("*").alias("n_sources"))
+    return rows.select("question", whole(F.col("_sources")).alias("prompt"), "n_sources")
+
+
+def chapter_summaries(notes: DataFrame, make: Callable[[], Generator], prompt: Callable[[str, list[str]], str]) -> DataFrame:
+    """(chapter, summary): a model's summary of each chapter from its paragraphs' summaries. notes: chapter, title, notes (joined by `||`)."""
+
+    @F.pandas_udf("string")
+    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for titles, held in it:
+            yield pd.Series(model.generate([prompt(t or "", (x or "").split("||")) for t, x in zip(titles, held)]), dtype=object)
+
+    return notes.select("chapter", T.chapter_summary(run("title", "notes")).alias("summary"))
+
+
+def verified_pairs(pairs: DataFrame, make: Callable[[], Generator], prompt: Callable[[str, str], str]) -> DataFrame:
+    """Adds `same`: whether a model says yes to two chapters being one text in two languages. pairs: a_text, b_text."""
+
+    @F.pandas_udf("string")
+    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for a, b in it:
+            yield pd.Series(model.generate([prompt(x or "", y or "") for x, y in zip(a, b)]), dtype=object)
+
+    return pairs.withColumn("same", F.lower(T.stripped(run("a_text", "b_text"))).startswith("yes"))
+
+
+class Echo:
+    """A deterministic stand-in for a model: the last line of the prompt."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [p.rstrip().rsplit("\n", 1)[-1] for p in prompts]
+
+
+#: Ways to make a model, by name; callers add their own.
+BACKENDS: dict[str, Callable[[], Generator]] = {"echo": Echo}
+
+
+def backend(names: list[str]) -> Callable[[], Generator]:
+    """The first of the named backends that can be made; an error that names all where none can."""
+    faults = []
+    for name in names:
+        if name not in BACKENDS:
+            faults.append(f"{name}: unknown")
+            continue
+        try:
+            BACKENDS[name]()
+            return BACKENDS[name]
+        except Exception as e:  # what a model needs may be missing
+            faults.append(f"{name}: {e}")
+    raise RuntimeError("; ".join(faults) or "no backend is named")
 
 
 def ask(question: str, retrieve: Callable[[str], DataFrame], answer: Callable[[DataFrame], DataFrame]) -> DataFrame | None:

@@ -101,3 +101,56 @@ def integrity(answers: DataFrame) -> DataFrame:
         F.try_divide(F.sum(told(F.col("_bad"))), F.sum(told(F.col("_c")))).alias("invalid_rate"),
         F.avg("cross_share").alias("cross_share"),
     )
+
+
+#: The columns of a paragraph's metadata.
+METADATA = ["text", "summary", "paragraph_idx", "char_offset", "para_id_html", "chapter_id", "chapter_title", "section", "chapter_id_html", "volume_title", "volume_num", "lang", "book_title"]
+
+
+def metadata(dim: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(paragraph_id, text, ..., book_title) of the given paragraphs. dim: the hierarchy joined once, by paragraph; paragraphs: paragraph."""
+    return dim.join(paragraphs.select("paragraph").distinct(), "paragraph", "left_semi").select(F.col("paragraph").alias("paragraph_id"), *METADATA)
+
+
+def concept(concepts: DataFrame, which: int) -> DataFrame:
+    """The row of one concept; none if there is no such concept."""
+    return concepts.where(F.col("concept") == which)
+
+
+def concepts_of(pc: DataFrame, concepts: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(paragraph, concept, label, relation, weight, rank): the concepts of the given paragraphs, the heaviest first."""
+    own = pc.join(paragraphs.select("paragraph").distinct(), "paragraph", "left_semi").join(concepts.select("concept", "label"), "concept")
+    w = Window.partitionBy("paragraph").orderBy(F.desc("weight"), "concept", "relation")
+    return own.select("paragraph", "concept", "label", "relation", "weight", F.row_number().over(w).alias("rank"))
+
+
+def selection(shown: DataFrame, removed: DataFrame, added: DataFrame, known: DataFrame) -> DataFrame:
+    """The shown rows without the removed, with the added, as far as they are known; each once. All have the same columns."""
+    return shown.exceptAll(removed).union(added).distinct().intersect(known)
+
+
+def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how two raters agree, with the exact tests. a, b: item, judgment (0 or 1), over the same items."""
+    one = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    x, y = F.col("a"), F.col("b")
+    r = paired(a, b).agg(F.count("*").alias("n"), F.avg((x == y).cast("int")).alias("po"), F.avg(x).alias("precision_a"), F.avg(y).alias("precision_b"), F.avg(x * y).alias("consensus"), F.avg(F.greatest(x, y)).alias("either"), one((x == 1) & (y == 0)).alias("only_a"), one((x == 0) & (y == 1)).alias("only_b"))
+    po, pa, pb = F.col("po"), F.col("precision_a"), F.col("precision_b")
+    return r.select("n", "precision_a", "precision_b", "consensus", "either", F.col("po").alias("agreement"), stats.kappa(po, pa, pb).alias("kappa"), stats.ac1(po, pa, pb).alias("ac1"), "only_a", "only_b", stats.mcnemar_exact("only_a", "only_b").alias("p_mcnemar"))
+
+
+def breakdown(judged: DataFrame, kinds: list[str]) -> DataFrame:
+    """(kind, value, n, yes, lo, hi, p): the consensus by the values of each kind, with its interval and, for kinds of two values, Fisher's test. judged: a, b and the kinds."""
+    both = judged.withColumn("_yes", (F.col("a") * F.col("b")).cast("long"))
+    out = None
+    for kind in kinds:
+        g = both.groupBy(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("value")).agg(F.count("*").alias("n"), F.sum("_yes").alias("yes"))
+        of = F.array_sort(F.collect_list(F.struct("value", "n", "yes")))
+        rows = g.groupBy("kind").agg(of.alias("v"))
+        at = lambda i, c: F.get(F.col("v"), F.lit(i))[c]
+        cells = [at(0, "yes"), at(0, "n") - at(0, "yes"), at(1, "yes"), at(1, "n") - at(1, "yes")]
+        rows = rows.withColumns({f"_{i}": F.when(F.size("v") == 2, c).otherwise(F.lit(0)) for i, c in enumerate(cells)})
+        rows = rows.withColumn("p", F.when(F.size("v") == 2, stats.fisher_exact("_0", "_1", "_2", "_3"))).select("kind", "p", F.inline("v"))
+        lo, hi = stats.wilson(F.col("yes"), F.col("n"))
+        rows = rows.select("kind", "value", "n", "yes", lo.alias("lo"), hi.alias("hi"), "p")
+        out = rows if out is None else out.unionByName(rows)
+    return out

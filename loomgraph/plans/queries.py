@@ -1,16 +1,11 @@
 """The engine's operators applied to the driver's tables, each with its SQL where SQL can say the same.
 
-Mapping: paragraph, concept, relation and weight are l_orderkey, l_suppkey, l_returnflag and 1 - l_discount of lineitem;
-concepts are suppliers, vectors are embeddings. The tables' largest cosines lie below the production thresholds, so the
-queries use 0.30 for edges and 0.40 for merges.
+The mapping of the tables is in base.py.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, stats
@@ -25,47 +20,7 @@ from ..operators import warm as W
 from ..sources import html, store
 from ..streaming import events as E
 from . import build as B
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-LABELS = "SELECT l_orderkey AS paragraph, l_suppkey AS concept, l_returnflag AS relation, 1 - l_discount AS weight FROM lineitem"
-PC = f"SELECT paragraph, concept, relation, max(weight) AS weight FROM ({LABELS}) GROUP BY ALL"
-
-
-def query(sql: str | None = None) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def raw_edges(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("paragraph"), F.col("l_suppkey").alias("concept"), F.col("l_returnflag").alias("relation"), (1 - F.col("l_discount")).alias("weight"))
-
-
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.upsert_max(raw_edges(spark, d), ["paragraph", "concept", "relation"])
-
-
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-
-
-def first_vector(spark: SparkSession, d: str) -> list[float]:
-    """The query: one row by its id."""
-    return list(vectors(spark, d).where("id = 0").select("vec").first()[0])
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{store.shared_root(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+from .base import PC, edges, first_vector, query, raw_edges, scratch, t, vectors
 
 
 # counts
@@ -302,13 +257,18 @@ def todo_anti(spark, d):
     return W.todo(p, edges(spark, d)).select("paragraph")
 
 
-@query("WITH k AS (SELECT doc_id, lang, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS n FROM documents), s AS (SELECT DISTINCT n, lang FROM k WHERE doc_id % 2 = 0) SELECT count(*) FILTER (s.n IS NOT NULL) AS hits, count(*) FILTER (s.n IS NULL) AS misses FROM k LEFT JOIN s USING (n, lang) WHERE doc_id % 2 = 1")
+@query("WITH k AS (SELECT doc_id, lang, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS n FROM documents), s AS (SELECT n, lang, max(doc_id) AS old FROM k WHERE doc_id % 2 = 0 AND n <> '' GROUP BY ALL), h AS (SELECT k.doc_id, old FROM k JOIN s USING (n, lang) WHERE doc_id % 2 = 1) SELECT (SELECT count(*) FROM h) AS hits, (SELECT count(*) FROM k WHERE doc_id % 2 = 1) - (SELECT count(*) FROM h) AS misses, (SELECT count(*) FROM (SELECT DISTINCT doc_id, l_suppkey, l_returnflag FROM h JOIN lineitem ON l_orderkey = old)) AS edges, (SELECT count(*) FROM (SELECT DISTINCT doc_id, l_partkey FROM h JOIN lineitem ON l_orderkey = old)) AS entities")
 def warm_restore(spark, d):
-    p = t(spark, d, "documents").select(F.col("doc_id").alias("paragraph"), T.normalize_text(F.col("text")).alias("text_norm"), "lang", F.lit("s").alias("summary"))
-    concepts = spark.createDataFrame([], "paragraph long, concept long, relation string, weight double")
-    snap = W.snapshot(p.where("paragraph % 2 = 0"), concepts, "stub@v1")
-    hit, miss = W.restored(p.where("paragraph % 2 = 1"), snap, "stub@v1")
-    return hit.agg(F.count("*").alias("hits")).crossJoin(miss.agg(F.count("*").alias("misses")))
+    """Documents with odd ids are restored from the snapshot of those with even ids, by text; lineitem gives their concepts and entities."""
+    p = store.written(t(spark, d, "documents").select(F.col("doc_id").alias("paragraph"), T.normalize_text(F.col("text")).alias("text_norm"), "lang", F.lit("s").alias("summary")), "keyed")
+    names = t(spark, d, "supplier").select(F.col("s_suppkey").alias("concept"), F.col("s_name").alias("label"))
+    pe = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("paragraph"), F.col("l_partkey").alias("entity")).distinct()
+    parts = t(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.concat_ws("/", "p_partkey", "p_name").alias("label"), F.col("p_type").alias("type"))
+    snap = W.snapshot(p.where("paragraph % 2 = 0"), edges(spark, d), "stub@v1", names, pe, parts)
+    hit, miss = W.restored(p.where("paragraph % 2 = 1"), store.written(snap, "snapshot"), "stub@v1")
+    hit = store.written(hit, "hits")
+    n = lambda x, name: x.agg(F.count("*").alias(name))
+    return n(hit, "hits").crossJoin(n(miss, "misses")).crossJoin(n(W.restored_edges(hit), "edges")).crossJoin(n(W.restored_entities(hit), "entities"))
 
 
 @query(f"WITH n AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier), e AS ({CO}), m AS (SELECT src, avg(x) AS near FROM e JOIN n ON dst = id GROUP BY src) SELECT id, 0 AS d, round((x + coalesce(near, x)) / 2, 6) AS x FROM n LEFT JOIN m ON src = id")
@@ -318,7 +278,7 @@ def neighbor_smoothing(spark, d):
 
 
 def small_graph(spark, d):
-    top = edges(spark, d).groupBy("concept").agg(F.count("*").alias("n_mentions")).orderBy(F.desc("n_mentions"), "concept").limit(60)
+    top = edges(spark, d).groupBy("concept").agg(F.count("*").alias("n_mentions")).orderBy(F.desc("n_mentions"), "concept").limit(250)
     nodes = top.join(t(spark, d, "supplier"), F.col("concept") == F.col("s_suppkey")).select(F.col("concept").alias("id"), F.col("s_name").alias("label"), "n_mentions")
     return nodes, concept_edges(spark, d)
 
@@ -342,7 +302,7 @@ def graph_spec(spark, d):
 # vectors
 
 X = "SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings"
-SIM = f"SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS sim FROM ({X}) a JOIN ({X}) b ON a.id < b.id"
+SIM = f"SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM ({X}) a JOIN ({X}) b ON a.id < b.id"
 BOTH = f"SELECT a AS src, b AS dst, sim FROM ({SIM}) UNION ALL SELECT b, a, sim FROM ({SIM})"
 
 
@@ -362,7 +322,7 @@ def mutual_best(spark, d):
     return V.mutual_best(sims, 0.30).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH e AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM ({X})), m AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label, list(x ORDER BY d) AS c FROM m GROUP BY label), s AS (SELECT id, CAST(c.label AS VARCHAR) AS class, list_inner_product(v, c) / sqrt(list_inner_product(c, c)) AS sim FROM ({X}) CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, class DESC) AS n FROM s) SELECT id, CASE WHEN sim >= 0.30 THEN class ELSE 'other' END AS class, round(sim, 6) AS sim FROM r WHERE n = 1")
+@query(f"WITH e AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM ({X})), m AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label, list(x ORDER BY d) AS c FROM m GROUP BY label), s AS (SELECT id, CAST(c.label AS VARCHAR) AS class, list_cosine_similarity(v, c) AS sim FROM ({X}) CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, class DESC) AS n FROM s) SELECT id, CASE WHEN sim >= 0.30 THEN class ELSE 'other' END AS class, round(sim, 6) AS sim FROM r WHERE n = 1")
 def centroid_class(spark, d):
     v = vectors(spark, d)
     return V.nearest_centroid(v, V.centroids(v, "label"), "label").withColumn("sim", F.round("sim", 6))
@@ -403,7 +363,9 @@ def path_a_hits(spark, d):
 def path_b_hits(spark, d):
     v = vectors(spark, d)
     anchors = V.top_k(v, first_vector(spark, d), DEFAULTS.k_concepts).select(F.col("id").alias("concept"), "score")
-    e = V.both_ways(V.similar_pairs(v, 0.30)).select("src", "dst", F.col("sim").alias("weight"))
+    # a search reads built edges; here those of the anchors alone are worked out, which is all it needs of them
+    asked = v.join(F.broadcast(anchors), F.col("id") == F.col("concept")).select(F.col("concept").alias("query"), "vec")  # k_concepts rows
+    e = V.nearest_to(v, asked, DEFAULTS.hops + 1).where((F.col("id") != F.col("query")) & (F.col("score") >= 0.30)).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"))
     pc = v.select(F.col("id").alias("paragraph"), F.col("id").alias("concept"), F.lit(1.0).alias("weight"))
     return R.concept_paragraphs(anchors, e, pc, DEFAULTS)
 
@@ -439,17 +401,20 @@ NEAREST = f"SELECT a.id AS q, b.id AS id, a.label AS ql, b.label AS label, s, ro
 
 
 def nearest_rows(spark, d):
-    """A block of queries, the rows whose id is divisible by 50, against all rows."""
+    """The ten nearest other rows of each row whose id is divisible by 50."""
     v = vectors(spark, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
-    s = v.join(q, F.col("id") != F.col("q")).select("q", "ql", "id", "label", V.dot(F.col("vec"), F.col("qv")).alias("s"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where("rank <= 10")
+    found = V.nearest_to(v, v.where("id % 50 = 0").select(F.col("id").alias("query"), "vec"), 11).where("query <> id")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 10")
+    labels = v.select("id", "label")
+    named = found.join(labels, "id").join(labels.select(F.col("id").alias("query"), F.col("label").alias("ql")), "query")
+    return named.select(F.col("query").alias("q"), "ql", "id", "label", F.col("score").alias("s"), "rank")
 
 
-@query(f"WITH r AS (SELECT * FROM ({NEAREST}) WHERE rank <= 10) SELECT CAST(label AS VARCHAR) AS lang, id AS paragraph, round(max(s), 6) AS score, list_slice(list_distinct(list(ql ORDER BY q)), 1, 1)[1] IS NOT NULL AS has_via FROM r GROUP BY label, id")
+@query(f"WITH r AS (SELECT q // 500 AS question, CAST(label AS VARCHAR) AS lang, id, s, q, ql FROM ({NEAREST}) WHERE rank <= 10), f AS (SELECT question, lang, id, ql, min(q) AS first FROM r GROUP BY ALL), w AS (SELECT question, lang, id, string_agg(ql, ',' ORDER BY first) AS via FROM (SELECT *, row_number() OVER (PARTITION BY question, lang, id ORDER BY first) AS n FROM f) WHERE n <= 3 GROUP BY ALL), b AS (SELECT question, lang, id, max(s) AS score FROM r GROUP BY ALL) SELECT question, lang, id AS paragraph, round(score, 6) AS score, via, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, lang, id) AS rank FROM b JOIN w USING (question, lang, id)) WHERE rank <= 10")
 def multi_query_pool(spark, d):
-    hits = nearest_rows(spark, d).select(F.col("label").cast("string").alias("lang"), F.col("id").alias("paragraph"), F.col("q").alias("query_id"), F.col("s").alias("score"), F.array("ql").alias("via"))
-    return R.merged_pool(hits).select("lang", "paragraph", F.round("score", 6).alias("score"), (F.size("via") > 0).alias("has_via"))
+    """Ten queries are one question; the pool of their hits, the concepts of earlier queries first."""
+    hits = nearest_rows(spark, d).select(F.expr("q div 500").alias("question"), F.col("q").alias("query_id"), F.col("label").cast("string").alias("lang"), F.col("id").alias("paragraph"), F.col("s").alias("score"), F.array("ql").alias("via"))
+    return R.sources(hits).select("question", "lang", "paragraph", F.round("score", 6).alias("score"), F.array_join(F.col("via").cast("array<string>"), ",").alias("via"), "rank")
 
 
 @query(f"WITH r AS (SELECT q, min(rank) FILTER (rank <= 10 AND label = ql) AS rank FROM ({NEAREST}) GROUP BY q) SELECT count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(rank, 99) <= 10)::INT), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r")
@@ -522,13 +487,22 @@ def budget_pack(spark, d):
 @query()
 def passage_trim(spark, d):
     docs = t(spark, d, "documents").withColumn("matched", F.element_at(F.concat(T.sentences_en(F.col("text")), F.array(F.lit(""))), 1))
-    return docs.select("doc_id", T.trim_passage("text", "matched", F.lit(1200)).alias("passage"))
+    return docs.select("doc_id", T.trim_passage(F.col("text"), F.col("matched"), F.lit(1200)).alias("passage"))
 
 
-@query()
+TEMPLATE = Q.Template(body="Q {question}{bridge}|{sources}|{language}|{opening}", bridge="[{note}]", related="({concepts})", openings=("A", "B"), languages=("E", "B"))
+
+
+@query("""WITH h AS (SELECT conv_id AS q, turn + 1 AS rank, conv_id % 3 = 0 AS bridged, conv_id % 2 = 1 AS bn, '[' || (turn + 1) || '] (' || CASE WHEN role = 'user' THEN 'Bengali' ELSE 'English' END || ') ' || role || chr(10) || text AS block FROM conversations WHERE length(text) > 0),
+p AS (SELECT *, 'Q ' || q || CASE WHEN bridged THEN '[new](x, y)' || chr(10) ELSE '' END || '|' AS before, '|' || CASE WHEN bn THEN 'B' ELSE 'E' END || '|' || CASE WHEN bridged THEN 'B' ELSE 'A' END AS after FROM h),
+u AS (SELECT *, row_number() OVER w AS n, sum(length(block) + 2) OVER w AS used FROM p WINDOW w AS (PARTITION BY q ORDER BY rank ROWS UNBOUNDED PRECEDING))
+SELECT CAST(q AS VARCHAR) AS question, before || string_agg(block, chr(10) || chr(10) ORDER BY rank) || after AS prompt, count(*) AS n_sources FROM u WHERE n = 1 OR used <= 900 - length(before) - length(after) GROUP BY q, before, after""")
 def qa_prompt(spark, d):
-    hits = t(spark, d, "documents").select(F.col("source").alias("question"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), "lang", F.col("source").alias("location"), "text", F.lit("").alias("matched"))
-    return Q.prompts(hits, skeleton=500)
+    """Conversations as questions, their turns as sources, some with a bridge note."""
+    c = t(spark, d, "conversations").where("length(text) > 0").withColumn("question", F.col("conv_id").cast("string"))
+    hits = c.select("question", (F.col("turn") + 1).alias("rank"), F.when(F.col("role") == "user", "bn").otherwise("en").alias("lang"), F.col("role").alias("location"), "text", F.lit("").alias("matched"))
+    plans = c.select("question", "conv_id").distinct().select("question", F.when(F.col("conv_id") % 3 == 0, "new").alias("bridge_note"), F.array(F.lit("x"), F.lit("y")).alias("concepts"), F.when(F.col("conv_id") % 2 == 1, "bn").otherwise("en").alias("lang"))
+    return Q.prompts(hits, plans, TEMPLATE, max_context=1_000_000, max_prompt=900)
 
 
 # evaluation
@@ -568,12 +542,15 @@ def spearman(spark, d):
     return stats.spearman(t(spark, d, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_nationkey").alias("y")), "x", "y").select(F.round("rho", 6).alias("rho"), "n")
 
 
-@query()
+CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query(f"SELECT b, c, round(least(1.0, coalesce(sum(exp(l)) FILTER (l <= own + 1e-9), 1)), 9) AS p FROM (SELECT b, c, {CHOOSE.format('m', 'i')} + m * ln(0.5) AS l, {CHOOSE.format('m', 'b')} + m * ln(0.5) AS own FROM (SELECT b, c, b + c AS m, unnest(range(0, b + c + 1)) AS i FROM ({RATERS}))) GROUP BY b, c")
 def mcnemar_exact(spark, d):
     return raters(spark, d).select("b", "c", F.round(stats.mcnemar_exact("b", "c"), 9).alias("p"))
 
 
-@query()
+@query(f"SELECT round(least(1.0, sum(exp(l)) FILTER (l <= own + 1e-9)), 9) AS p FROM (SELECT {CHOOSE.format('r', 'x')} + {CHOOSE.format('(n - r)', '(k - x)')} - {CHOOSE.format('n', 'k')} AS l, {CHOOSE.format('r', 'a')} + {CHOOSE.format('(n - r)', '(k - a)')} - {CHOOSE.format('n', 'k')} AS own FROM (SELECT *, unnest(range(greatest(0, k - (n - r)), least(r, k) + 1)) AS x FROM (SELECT count(*) AS n, sum(quality)::BIGINT AS r, sum(toxic)::BIGINT AS k, sum(quality * toxic)::BIGINT AS a FROM labels)))")
 def fisher_exact(spark, d):
     return raters(spark, d).select(F.round(stats.fisher_exact("a", "b", "c", "d"), 9).alias("p"))
 

@@ -7,35 +7,54 @@ before it in force. Columns that a schema has gained since a version was written
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import positions
+
 #: The tables of a build, by name.
 SCHEMAS = {
     "paragraphs": "paragraph long, lang string, volume string, volume_num int, section string, chapter string, chapter_key long, paragraph_idx int, text string, text_norm string, anchor string, summary string",
     "sentences": "paragraph long, sentence_idx int, text string, lang string",
     "concepts": "concept long, label string, n_mentions long",
+    "concept_aliases": "concept long, lang string, alias string",
+    "entities": "entity long, label string, type string",
+    "paragraph_entities": "paragraph long, entity long",
     "paragraph_concepts": "paragraph long, concept long, relation string, weight double",
     "concept_edges": "src long, dst long, relation string, weight double",
     "stats": "key string, value string",
+    "concept_snapshot": "text_norm string, lang string, extractor_tag string, summary string, concepts_json string, entities_json string",
+    "alias_snapshot": "label string, lang string, alias string",
 }
+#: What a wipe leaves: the snapshots that a new parse is warmed from.
+KEPT = ("concept_snapshot", "alias_snapshot")
 VECTORS = "node long, vec array<double>, node_kind string, lang string"
 STATES = ("started", "progress", "done")
 _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-store-")
     return _own[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a new shared folder and read again, for what several later steps read."""
+    path = f"{shared_root(df.sparkSession)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables under one root folder."""
 
@@ -75,7 +94,8 @@ class Store:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}/v{have[-1]:08d}")
 
     def wipe(self, *names: str) -> None:
-        for name in names:
+        """Removes tables, all but the snapshots where none is named."""
+        for name in names or [n for n in self.schemas if n not in KEPT]:
             store, at = self._at(f"{self.root}/{name}")
             store.delete(at, True)
 
@@ -97,6 +117,10 @@ class Store:
         v = v.where(F.col("lang") == lang) if lang else v
         return v.withColumn("lang", F.nullif(F.col("lang"), F.lit("-")))
 
+    def vector_of(self, nodes: DataFrame, kind: str, lang: str | None = None) -> DataFrame:
+        """(node, vec) of the given nodes. nodes: node."""
+        return self.vectors(kind, lang).join(nodes.select("node").distinct(), "node").select("node", "vec")
+
     # step states
 
     def mark(self, step: str, state: str, done: int = 0, total: int = 0, note: str = "") -> None:
@@ -150,10 +174,14 @@ def read_judgments(spark: SparkSession, path: str) -> DataFrame:
 def progress(items: DataFrame, judgments: DataFrame) -> DataFrame:
     """(user, n_judged, next_item): how far each user is, and the first item in order of its number that is not judged, null when none is left.
 
-    Each user meets all items through their own list of judgments, which is as long as the sheet.
+    The first place in the order that a user's judged places leave out is found from these places alone.
     """
-    done = judgments.groupBy("user").agg(F.count_distinct("item").alias("n_judged"), F.collect_set("item").alias("_done"))
-    order = F.array_sort(F.collect_set(F.struct(F.col("item").cast("long").alias("number"), F.col("item").cast("string").alias("item"))))
-    sheet = items.agg(F.transform(order, lambda x: x["item"]).alias("_items"))
-    left = F.filter(F.col("_items"), lambda x: ~F.array_contains("_done", x))
-    return done.join(F.broadcast(sheet)).select("user", "n_judged", F.get(left, F.lit(0)).alias("next_item"))  # one row: a sheet is annotated by hand
+    sheet = positions(items.select(F.col("item").cast("long").alias("number"), F.col("item").cast("string").alias("item")).distinct(), "number", "place")
+    done = judgments.select("user", F.col("item").cast("string").alias("item")).distinct()
+    counted = done.groupBy("user").agg(F.count("*").alias("n_judged"))
+    own = done.join(sheet.select("item", "place"), "item").select("user", "place")
+    # places 0 to m - 1 are judged without a gap exactly where the m-th judged place is m
+    n = F.row_number().over(Window.partitionBy("user").orderBy("place")) - 1
+    first = own.withColumn("n", n).groupBy("user").agg(F.count(F.when(F.col("n") == F.col("place"), 1)).alias("place"))
+    left = counted.join(first, "user", "left").select("user", "n_judged", F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+    return left.join(sheet.select("place", F.col("item").alias("next_item")), "place", "left").select("user", "n_judged", "next_item")

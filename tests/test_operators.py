@@ -1,6 +1,7 @@
 """Small fixtures with exact expected results."""
 
 import math
+import random
 import unicodedata
 from collections import Counter
 
@@ -16,6 +17,7 @@ from loomgraph.operators import qa as Q
 from loomgraph.operators import retrieve as R
 from loomgraph.operators import vectors as V
 from loomgraph.operators import warm as W
+from loomgraph.plans import build as B
 from loomgraph.sources import html
 from loomgraph.streaming import events as E
 
@@ -103,12 +105,33 @@ def test_text(spark):
     assert [one(spark, x, T.meaningful) for x in ("short", "long enough to be kept", None)] == [False, True, False]
 
 
-def test_trim():
-    text = "word " * 100 + "The very sentence. " + "tail " * 100
-    got = T.trimmed(text, "The very sentence.", 120)
-    assert "The very sentence." in got and got.startswith("… ") and got.endswith(" …") and len(got) < 130
-    assert T.trimmed("short", "x", 10) == "short" and T.trimmed("x" * 50, "x" * 30, 10).count("x") == 30
-    assert T.trimmed("aaa " * 50, "", 21) == "aaa aaa aaa aaa aaa …"
+def test_trim(spark):
+    """The sentence stays whole, the length is bounded, both ends fall on words where one is near, and marks tell what is left out."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        words = ["".join(rng.choice("abcde") for _ in range(rng.choice([1, 3, 8, 60]))) for _ in range(rng.randint(1, 60))]
+        a = rng.randrange(len(words))
+        sentence = " ".join(words[a : a + rng.randint(1, 12)]) + "."
+        text = " ".join(words[:a]) + " " + sentence + " " + " ".join(words[a:])
+        rows.append((rng.choice(["", " \n"]) + text, rng.choice([sentence, sentence, "", "not there", None]), rng.choice([10, 40, 120, 400])))
+    rows += [("short", "x", 10), ("x" * 50, "x" * 30, 10), ("aaa " * 50, "", 21), (None, "x", 10)]
+    df = spark.createDataFrame(rows, "text string, matched string, most int")
+    got = df.select("text", "matched", "most", T.trim_passage(F.col("text"), F.col("matched"), F.col("most")).alias("p")).collect()
+    assert [r.p for r in got[-4:]] == ["short", "x" * 30 + " …", "aaa aaa aaa aaa aaa …", None]
+    for text, matched, most, p in got[:-4]:
+        text = text.strip()
+        if len(text) <= most:
+            assert p == text
+            continue
+        inner = p.removeprefix("… ").removesuffix(" …")
+        assert inner in text and len(inner) <= max(most, len(matched or ""))
+        if matched and matched in text:
+            assert matched in p
+        else:
+            assert text.startswith(inner)
+        assert p.startswith("… ") or text.startswith(inner)
+        assert p.endswith(" …") or text.endswith(inner)
 
 
 def test_json(spark):
@@ -136,8 +159,11 @@ def test_rrf_path_b_and_pool(spark):
     anchors = spark.createDataFrame([(1, 0.8), (2, -0.1)], "concept long, score double")
     e = spark.createDataFrame([(1, 3, 0.9), (1, 4, 0.5), (2, 5, 0.3)], "src long, dst long, weight double")
     assert {r.concept: round(r.score, 6) for r in R.expanded(anchors, e, R.Search()).collect()} == {1: 0.8, 3: round(0.85 * 0.8 * 0.9, 6)}
-    hits = spark.createDataFrame([(0, "en", 1, 0.5, ["x", "y"]), (1, "en", 1, 0.9, ["y", "z", "w"])], "query_id int, lang string, paragraph long, score double, via array<string>")
-    assert R.merged_pool(hits).first().asDict() == {"lang": "en", "paragraph": 1, "score": 0.9, "via": ["x", "y", "z"]}
+    hits = spark.createDataFrame([("q", 0, "en", 1, 0.5, ["x", "y"]), ("q", 1, "en", 1, 0.9, ["y", "z", "w"]), ("q", 1, "bn", 1, 0.7, []), ("q", 0, "en", 2, 0.1, ["x"])], "question string, query_id int, lang string, paragraph long, score double, via array<string>")
+    got = [r.asDict() for r in R.sources(hits, n=2).orderBy("rank").collect()]
+    assert got == [{"question": "q", "lang": "en", "paragraph": 1, "score": 0.9, "via": ["x", "y", "z"], "rank": 1}, {"question": "q", "lang": "bn", "paragraph": 1, "score": 0.7, "via": [], "rank": 2}]
+    ahead = R.sources(hits, rerank=lambda p: p.withColumn("rerank", F.col("paragraph").cast("double"))).orderBy("rank").collect()
+    assert [(r.paragraph, r.lang) for r in ahead] == [(2, "en"), (1, "bn"), (1, "en")]  # scored once against the question; ties by language
     ranks = spark.createDataFrame([(1, 1), (2, 4), (3, None)], "query long, rank int")
     r = R.recall_mrr(ranks).first()
     assert math.isclose(r.recall_1, 1 / 3) and math.isclose(r.recall_5, 2 / 3) and math.isclose(r.mrr, 1.25 / 3)
@@ -186,14 +212,24 @@ def test_sessions_reopen(spark):
 
 
 def test_warm_start(spark):
-    p = spark.createDataFrame([(1, "a", "en", "s1"), (2, "b", "en", None), (3, "c", "en", None)], "paragraph long, text_norm string, lang string, summary string")
+    p = spark.createDataFrame([(1, "a", "en", "s1"), (2, "b", "en", None), (3, "c", "en", None), (4, "d", "en", None), (5, "", "en", "s"), (6, "e", "en", "")], "paragraph long, text_norm string, lang string, summary string")
     c = spark.createDataFrame([(2, 5, "discusses", 0.5)], "paragraph long, concept long, relation string, weight double")
-    assert [r.paragraph for r in W.todo(p, c).collect()] == [3]
-    snap = W.snapshot(p, c, "m@v1")
-    assert snap.count() == 2
-    hit, miss = W.restored(spark.createDataFrame([(9, "b", "en"), (8, "new", "en")], "paragraph long, text_norm string, lang string"), snap, "m@v1")
-    assert [r.paragraph for r in miss.collect()] == [8] and [tuple(r) for r in W.restored_edges(hit).collect()] == [(9, 5, "discusses", 0.5)]
+    named = spark.createDataFrame([(5, "duty")], "concept long, label string")
+    pe = spark.createDataFrame([(4, 9)], "paragraph long, entity long")
+    entities = spark.createDataFrame([(9, "Ganges", "place")], "entity long, label string, type string")
+    assert [r.paragraph for r in W.todo(p, c).where("text_norm IN ('a', 'b', 'c')").collect()] == [3]
+    snap = W.snapshot(p, c, "m@v1", named, pe, entities)
+    assert sorted(r.text_norm for r in snap.collect()) == ["a", "b", "d"]  # an empty text, and one with nothing to keep, are left out
+    fresh = spark.createDataFrame([(9, "b", "en"), (8, "new", "en"), (7, "d", "en"), (6, "b", "bn")], "paragraph long, text_norm string, lang string")
+    hit, miss = W.restored(fresh, snap, "m@v1")
+    assert sorted(r.paragraph for r in miss.collect()) == [6, 8]
+    assert [tuple(r) for r in W.restored_edges(hit).collect()] == [(9, "duty", "discusses", 0.5)]
+    assert [tuple(r) for r in W.restored_entities(hit).collect()] == [(7, "Ganges", "place")]
     assert W.restored(p.drop("summary"), snap, "m@v2")[0].count() == 0
+    aliases = W.alias_snapshot(spark.createDataFrame([(5, "bn", "k"), (5, "bn", "k")], "concept long, lang string, alias string"), named)
+    again = spark.createDataFrame([(77, "duty"), (78, "truth")], "concept long, label string")
+    assert [tuple(r) for r in W.restored_aliases(aliases, again).collect()] == [(77, "bn", "k")]
+    assert [r.paragraph for r in W.dangling(c, p.select(F.col("paragraph").alias("id")).where("id <> 2"), "paragraph", "id").collect()] == [2]
 
 
 def test_stream(spark, tmp_path):
@@ -216,3 +252,109 @@ def test_models(spark):
         Q.ask("  ", None, None)
     v = spark.createDataFrame([("same words here",), ("words here same",)], "t string").select(Q.hashed_vectors(F.col("t")).alias("v")).collect()
     assert np.allclose(v[0].v, v[1].v) and math.isclose(np.linalg.norm(v[0].v), 1)
+
+
+def test_paragraphs_outside_of_containers_are_left_out(spark):
+    page = '<h3>স্বামী বিবেকানন্দ সমগ্র খণ্ড ২</h3><p>Before the container, of enough length.</p><section class="content-block" id="s1"><h2>One</h2><p id="p-1">Inside the container, of enough length.</p></section><p>After the container, of enough length.</p>'
+    got = B.parsed(spark.createDataFrame([(1, "bn", page), (2, None, page.replace("content-block", "x"))], "page_id long, lang string, html string")).collect()
+    assert [(r.text, r.volume_num, r.chapter) for r in got] == [("Inside the container, of enough length.", 2, "One")]
+    other = H.items(html.blocks(spark.createDataFrame([(1, page.replace("স্বামী বিবেকানন্দ সমগ্র খণ্ড ২", "Part 7"))], "page_id long, html string")), mark=(r"Part [0-9]+", r"Part ([0-9]+)", "Part ")).first()
+    assert (other.volume, other.volume_num) == ("Part 7", 7)
+
+
+def test_pages_without_a_language_are_parsed(spark):
+    page = '<div class="chapter" id="c"><h3 class="chapter-title">T</h3><div class="chapter-content"><p>A paragraph of enough length.</p></div></div>'
+    assert B.parsed(spark.createDataFrame([(1, None, page)], "page_id long, lang string, html string")).count() == 1
+
+
+def test_white_space_is_stripped(spark):
+    df = spark.createDataFrame([("\n\tFoo\u00a0Bar\t",), (" \u3000",)], "x string")
+    assert [r[0] for r in df.select(T.entity_label(F.col("x"))).collect()] == ["Foo Bar", ""]
+    assert [r[0] for r in df.select(T.concept_label(F.col("x"))).collect()] == ["foo-bar", ""]
+    assert [r[0] for r in df.select(T.sentences_bn(F.col("x"))).collect()] == [["Foo\u00a0Bar"], []]
+
+
+def test_similarity_is_the_cosine(spark):
+    v = spark.createDataFrame([(1, [10.0, 0.0]), (2, [1.0, 9.0]), (3, [0.1, 0.0]), (4, [0.0, 0.0])], "id long, vec array<double>")
+    assert [(r.a, r.b) for r in V.similar_pairs(v, 0.92).collect()] == [(1, 3)]
+
+
+def test_nearest_to_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(200, 5))
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "id long, vec array<double>")
+    q = v.where("id < 30").select(F.col("id").alias("query"), "vec")
+    got = {(r["query"], r["rank"]): r.id for r in V.nearest_to(v, q, 4, block=37, query_block=7).collect()}
+    assert got == {(i, k + 1): int(j) for i in range(30) for k, j in enumerate(np.argsort(-(x @ x[i]), kind="stable")[:4])}
+
+
+def test_pair_counts_are_written_once(spark):
+    pc = spark.createDataFrame([(p, c) for p in range(6) for c in range(p)], "paragraph long, concept long")
+    want = Counter((a, b) for p in range(6) for b in range(p) for a in range(b))
+    assert {(r.a, r.b): r.n for r in G.pair_counts(pc).collect()} == dict(want)
+
+
+def test_chapter_text_gathers_no_more_than_it_shows(spark):
+    rows = [("c", i, f"paragraph {i:04d} of some length") for i in range(2000)] + [("d", 0, "a" * 30_000)]
+    got = {r.k: r.text for r in H.chapter_text(spark.createDataFrame(rows, "k string, paragraph_idx int, text string"), ["k"], F.concat(F.lit("T "), "k")).collect()}
+    assert got["c"] == "T c\n\n" + " ".join(x for k, _, x in rows if k == "c")[:16_384] and got["d"] == "T d\n\n" + "a" * 16_384
+
+
+def test_running_ranks_over_ranges(spark):
+    rng = random.Random(1)
+    values = [rng.choice([rng.randint(0, 50), rng.random() * 1000]) for _ in range(3000)]
+    got = [(r.x, r["rank"]) for r in stats.midranks(spark.createDataFrame([(float(v),) for v in values], "x double"), "x", "rank").collect()]
+    order = sorted(values)
+    first = {v: i for i, v in reversed(list(enumerate(order)))}
+    n = Counter(values)
+    assert sorted(got) == sorted((v, first[v] + (n[v] + 1) / 2) for v in values)
+
+
+def test_bm25_in_blocks_of_queries(spark):
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices("alpha beta gamma delta the of".split(), k=20))) for i in range(60)] + [(99, None)], "doc long, text string")
+    queries = spark.createDataFrame([(1, "Alpha the the"), (2, "gamma nowhere"), (3, "")], "query long, text string")
+    one = sorted(tuple(r) for r in R.bm25(docs, queries, 5).collect())
+    assert one == sorted(tuple(r) for r in R.bm25(docs, queries, 5, most_terms=1).collect()) and {r[0] for r in one} == {1, 2} and len(one) == 10
+
+
+def test_a_graph_that_is_too_large_is_refused(spark):
+    nodes = spark.range(20).select("id", F.lit("x").alias("label"), F.lit(1).alias("n_mentions"))
+    with pytest.raises(ValueError):
+        G.graph_spec(nodes, spark.createDataFrame([], "a long, b long, relation string, weight double"), nodes.select("id"), max_nodes=10)
+
+
+def test_backends():
+    assert Q.backend(["missing", "echo"])().generate(["a\nb"]) == ["b"]
+    with pytest.raises(RuntimeError, match="missing: unknown"):
+        Q.backend(["missing"])
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from loomgraph.sources import store
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host", applicationId="x", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        store.shared_root(far)
+
+
+def test_entry_survives_a_missing_library(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def without(name, *a, **k):
+        if name == "xxhash":
+            raise ModuleNotFoundError(name)
+        return real(name, *a, **k)
+
+    for m in [m for m in sys.modules if m.startswith("loomgraph.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert "fused_search" in e.queries() and "pipeline" not in e.queries() and "fused_search" in e.oracle_sql()

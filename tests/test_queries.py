@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans.queries import ORACLES, QUERIES
+from loomgraph.plans.catalog import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
