@@ -105,7 +105,7 @@ def chapter_text(paras: DataFrame, keys: list[str], title: Column, cap: int = 16
     """
     shown = paras.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("paragraph_idx"))).where(F.col("_n") <= cap // (least + 1) + 1)
     before = F.sum(F.length("text") + 1).over(Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1))
-    shown = shown.withColumn("_title", title).withColumn("_at", F.coalesce(before, F.lit(0))).where(F.col("_at") < cap)
+    shown = shown.withColumn("_title", title).withColumn("_at", F.coalesce(before, F.lit(0))).where(F.col("_at") <= cap)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda p: p["text"]), " ")
     return shown.groupBy(*keys).agg(F.concat(F.min_by("_title", "_n"), F.lit("\n\n"), F.substring(body, 1, cap)).alias("text"))
 
