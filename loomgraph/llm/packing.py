@@ -60,7 +60,7 @@ class Encoder:
     are one id each wherever a text holds them, as `tokenizers` reads them.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
