@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, chat_format, exact_dedup, language_id, lm_score, mixing, packing, simhash, url_filter, warc
+from loomgraph.llm import ann, chat_format, exact_dedup, language_id, lm_score, mixing, packing, simhash, similar, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CLASH = ["id", "_id", "fp", "n", "size", "_bytes", "held_out", "score", "copies", "part", "source_size", "root", "row", "url_", "key", "window", "hash", "_dedup", "x"]
@@ -115,6 +115,12 @@ def test_near_dedup(docs, none):
     assert sorted((r.doc_id or 0, r.text[:7]) for r in simhash.one_per_component(repeated).collect()) == [(0, "a third"), (1, LONG[:7]), (5, "another")]
 
 
+def test_distinct_documents(docs, none):
+    got = similar.distinct_documents(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 2, 6, 7, 8, 10, 11]
+    assert similar.distinct_documents(none).count() == 0
+
+
 def test_language_id(docs, none):
     got = language_id.identified(docs, per_language=5)
     by = {r.doc_id: r for r in got.collect()}
