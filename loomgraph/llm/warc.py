@@ -175,8 +175,8 @@ def archives_in(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
 
 
-def read_archives(archives: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, record_type, payload_bytes, payload_digest, refers_to) per response and revisit. archives: path.
+def read_archives(archives: DataFrame, scratch: Scratch, per_task: int = 2) -> DataFrame:
+    """(page_id, record_type, payload_bytes, payload_digest, refers_to) per response and revisit. archives: path, of which a task reads per_task.
 
     Segments that are missing, repeated or of another total length, and payloads without their stated digest, raise a ValueError.
     """
@@ -211,7 +211,8 @@ def read_archives(archives: DataFrame, scratch: Scratch) -> DataFrame:
                     yield sent(out)
 
     columns = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, origin string, number int, total long, fields string, block binary"
-    files = archives.select("path").repartition(F.col("path"))  # a small file each: its name is all that is shuffled
+    # names are all that is shuffled; a number of partitions that is asked for is not put together again for their few bytes
+    files = archives.select("path").repartition(max(1, -(-archives.count() // per_task)))
     parts = scratch.written(files.mapInArrow(split, columns), "records")
 
     def joined(g: pd.DataFrame) -> pd.DataFrame:
