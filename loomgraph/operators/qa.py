@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import text as T
-from .vectors import l2_normalised
 
 
 class Generator(Protocol):
@@ -58,9 +58,16 @@ def extracted(texts: DataFrame, make: Callable[[], Generator], prompt: Callable[
 
 def hashed_vectors(text: Column, dim: int = 64) -> Column:
     """Deterministic stand-in for an encoder: counts of hashed words, normalised. It carries no meaning."""
-    slots = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double"))
-    return l2_normalised(T.bound(slots, counts))
+
+    @F.pandas_udf("array<double>")
+    def counted(slots: pd.Series) -> pd.Series:
+        out = []
+        for s in slots:
+            x = np.bincount(s, minlength=dim).astype(float) if s is not None and len(s) else np.zeros(dim)
+            out.append(x / max(np.sqrt((x * x).sum()), 1e-12))
+        return pd.Series(out)
+
+    return counted(F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
 
 
 def lexical_score(query: Column, text: Column) -> Column:
