@@ -291,12 +291,16 @@ def test_lists_in_blocks_reach_the_same(spark):
     rng = np.random.default_rng(13)
     texts = [edited(rng, list("abcdefghijklmnopqrstuvwxyz" * 4), 0.02) for _ in range(300)]
     prints = np.unique(similar.wide_fingerprints([" ".join(t).encode() for t in texts], 5), axis=0).view(np.int64)
-    classes = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(prints)], "node long, f0 long, f1 long, f2 long, f3 long")
+    classes = spark.createDataFrame([(i, i, *map(int, f)) for i, f in enumerate(prints)], "node long, group long, f0 long, f1 long, f2 long, f3 long")
     got = []
     for limit in (1 << 15, 20):
         links = similar.candidates(classes, len(prints), list_limit=limit)
         got.append({(r.node, r.root) for r in simhash.components(links, Scratch(spark, "test")).collect()})
     assert got[0] == got[1] and len(got[0]) > 200
+    # what is connected already gets no more links
+    assert similar.candidates(classes.withColumn("group", F.lit(0).cast("long")), len(prints)).count() == 0
+    halves = similar.candidates(classes.withColumn("group", F.col("node") % 2), len(prints)).collect()
+    assert halves and all(r.hi % 2 != r.lo % 2 for r in halves)
 
 
 def test_pipeline_run(spark):
