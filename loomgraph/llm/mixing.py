@@ -52,11 +52,11 @@ class Dual:
     spread: float
 
 
-def balanced(cells: DataFrame, words: dict, targets: dict, cap: float, steps: int = 60, tolerance: float = 1e-9, ridge: float = 0.1) -> Dual:
+def balanced(cells: DataFrame, words: dict, targets: dict, cap: float, steps: int = 100, tolerance: float = 1e-9, ridge: float = 0.1) -> Dual:
     """Solves the dual by Newton steps. cells: (source, size, n), the number of documents of each size; words, targets: by source.
 
     A step sums, for each source, its tilted words, their lengths and squares, and the dual's value. Sources whose target is the cap times
-    their size have no freedom left and are full. A step is at most 1 in each multiplier and is halved while the dual's value falls.
+    their size have no freedom left and are full. A step is shortened to at most 1 in each multiplier and halved while the dual's value falls.
     """
     spark, top, all_words = cells.sparkSession, math.log(cap), float(sum(words.values()))
     full = frozenset(s for s in words if words[s] and targets[s] >= cap * words[s] * (1 - 1e-12))
@@ -88,16 +88,17 @@ def balanced(cells: DataFrame, words: dict, targets: dict, cap: float, steps: in
         off_length = -lengths - ridge * all_words * length
         if all(abs(x) <= tolerance * targets[s] for s, x in off.items()) and abs(off_length) <= tolerance * max(all_words, 1.0):
             return Dual(of, full, length, mean, spread)
-        curve = {s: max(got[s][1], 1e-9 * words[s]) for s in free}
+        # a source whose words are all capped has no curvature; a little keeps the step one that rises
+        curve = {s: max(got[s][1], 1e-3 * got[s][0], 1e-9 * words[s]) for s in free}
         rest = ridge * all_words + sum(got[s][3] - got[s][2] ** 2 / curve[s] for s in free)
         step = (off_length - sum(got[s][2] / curve[s] * off[s] for s in free)) / rest
-        step = max(-1.0, min(1.0, step))
-        move = {s: max(-1.0, min(1.0, (off[s] - got[s][2] * step) / curve[s])) for s in free}
-        scale = 1.0
+        move = {s: (off[s] - got[s][2] * step) / curve[s] for s in free}
+        # the step is shortened as a whole, as its direction is what raises the dual
+        scale = 1 / max(1.0, abs(step), *map(abs, move.values()))
         while True:
             at, there = {s: of[s] + scale * move[s] for s in free}, length + scale * step
             after = summed(at, there)
-            if after[0] >= value - 1e-9 * all_words or scale < 1e-4:
+            if after[0] >= value - 1e-11 * abs(value) or scale < 1e-9:
                 break
             scale /= 2
         of, length, (value, got, lengths) = at, there, after
@@ -112,10 +113,11 @@ def diffused(sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
     owed, out = 0.0, np.zeros(len(sizes), np.int64)
     for i, (n, part) in enumerate(zip(sizes.tolist(), parts.tolist())):
         owed += part * n
-        if part > 0 and 2 * owed >= n:
+        if part > 0 and 2 * owed >= n * (1 - 1e-6):  # so that sums in another order leave ties as they are
             owed -= n
             out[i] = 1
     while True:
+        owed = round(owed, 6)
         one, two = np.flatnonzero((out == 1) & (parts > 0)), np.flatnonzero((out == 0) & (parts > 0))
         # taking i in adds its size, leaving it out takes the size away, an exchange does both
         choices = [((float(sizes[i]),), (int(i),)) for i in two[np.argsort(np.abs(owed - sizes[two]), kind="stable")[:1]]]
@@ -158,11 +160,13 @@ def _planned(docs: DataFrame, weights: Sequence[float], cap: float, id_col: str,
     tilted = F.exp(F.least(F.col("multiplier") + dual.length * (F.log1p("size") - dual.mean) / dual.spread, F.lit(math.log(cap))))
     dealt = dealt.withColumn("rate", F.coalesce(F.least(tilted, F.lit(float(cap))), F.lit(float(cap)))).drop("multiplier")
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "_text_hash"), F.col("buckets"))).drop("buckets")
-    # rows alike in id and text fall in one bucket; where there are many, they are dealt by their place, as they are interchangeable
+    # rows alike in id and text fall in one bucket; where there are many, they are counted, made again and dealt by their number, whatever their order
     crowded = dealt.groupBy("nth", "bucket").agg(F.count("*").alias("held")).where(F.col("held") > 4 * bucket)
     crowded = scratch.written(crowded.select("nth", "bucket", F.ceil(F.col("held") / bucket).alias("parts")), "crowded")
-    dealt = dealt.join(small(crowded, crowded.count(), 40), ["nth", "bucket"], "left")
-    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("parts")))).drop("parts")
+    few = small(crowded, crowded.count(), 40)
+    apart = dealt.join(few, ["nth", "bucket"]).groupBy(*dealt.columns, "parts").agg(F.count("*").alias("alike"))
+    apart = apart.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike")))).withColumn("part", F.pmod(F.xxhash64("id", "_text_hash", "place"), F.col("parts")))
+    dealt = dealt.join(few, ["nth", "bucket"], "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(apart.select(*dealt.columns, "part"))
 
     def rounded(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", "id", "_text_hash"], ascending=[False, True, True], ignore_index=True)

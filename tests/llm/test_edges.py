@@ -219,6 +219,22 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_of_ties_and_repeated_rows(spark):
+    """Rows alike in id, text and source are taken as often as planned together; ties in size and small buckets give the same mix on every run."""
+    rows = [(i % 70 if i % 3 else None, f"word{i % 5} " * (1 + i % 4), "en", f"s{i % 4}") for i in range(600)] + [(9, "a hot row " * 3, "en", "s0")] * 400
+    d = frame(spark, rows)
+    planned = mixing.mix(d, bucket=16).collect()
+    assert sorted(map(str, planned)) == sorted(map(str, mixing.mix(d.repartition(5), bucket=16).collect()))
+    assert all(r.taken <= 3 * r.size for r in planned)
+    for size, target, taken in {(r.source_size, round(r.target, 6), sum(x.taken for x in planned if x.source_size == r.source_size)) for r in planned}:
+        assert abs(taken - target) <= 0.02 * target + 30, (size, target, taken)
+    got = mixing.mixed(d, bucket=16).groupBy("doc_id").count().collect()
+    want = {}
+    for r in planned:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    assert {r.doc_id: r["count"] for r in got} == {i: n for i, n in want.items() if n}
+
+
 def test_lm_score(docs, none):
     got = lm_score.scored(docs).collect()
     by = {r.doc_id: r for r in got}
