@@ -159,10 +159,14 @@ def recall_mrr(ranks: DataFrame, at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     return ranks.agg(F.count("*").alias("n"), *[hit(n) for n in at], F.avg(F.coalesce(1.0 / F.col("rank").cast("double"), F.lit(0.0))).alias("mrr"))
 
 
-def remapped_pairs(pairs: DataFrame, current: DataFrame) -> DataFrame:
-    """Pairs whose recorded id is stale get the id with the same (lang, title) whose similarity is closest to the recorded one."""
-    c = pairs.join(current, ["lang", "title"]).groupBy("pair").agg(F.min_by("id", F.struct(F.abs(F.col("sim") - F.col("recorded")), F.col("id"))).alias("id"))
-    return c
+def remapped_pairs(pairs: DataFrame, current: DataFrame, places: int = 9) -> DataFrame:
+    """Pairs whose recorded id is stale get the id with the same (lang, title) whose similarity is closest to the recorded one.
+
+    Distances are compared after rounding to `places` decimals, half away from zero, so the noise of a subtraction decides nothing; ties go to the smaller id.
+    """
+    far = F.round(F.abs(F.col("sim") - F.col("recorded")) * float(10**places))
+    near = F.min(F.struct(far.isNull().alias("none"), far.alias("far"), "id"))
+    return pairs.join(current, ["lang", "title"]).groupBy("pair").agg(near["id"].alias("id"))
 
 
 @dataclass(frozen=True)

@@ -135,7 +135,7 @@ def remapped_pairs(spark, d):
     n = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("title"))
     p = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("pair"), F.col("c_mktsegment").alias("lang"), "title", F.col("c_acctbal").alias("recorded"))
     c = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.lit("BUILDING").alias("lang"), "title", F.col("s_acctbal").alias("sim"))
-    return R.remapped_pairs(p.withColumn("recorded", F.round("recorded", 2)), c.withColumn("sim", F.round("sim", 2)))
+    return R.remapped_pairs(p, c, places=2)
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -358,3 +358,10 @@ def test_entry_survives_a_missing_library(monkeypatch):
         monkeypatch.delitem(sys.modules, m)
     monkeypatch.setattr(builtins, "__import__", without)
     assert "fused_search" in e.queries() and "pipeline" not in e.queries() and "fused_search" in e.oracle_sql()
+
+
+def test_remapped_pairs_rounds_distances(spark):
+    """Two similarities as far from the recorded one, but for the noise of the subtraction: the smaller id."""
+    p = spark.createDataFrame([(1, "en", "t", 3179.79), (2, "en", "t", 2819.34), (3, "en", "none", 1.0)], "pair long, lang string, title string, recorded double")
+    c = spark.createDataFrame([(792, "en", "t", 3203.26), (5098, "en", "t", 3156.32), (9218, "en", "t", 2846.31), (5567, "en", "t", 2792.37), (1, "bn", "t", 3179.79)], "id long, lang string, title string, sim double")
+    assert {r.pair: r.id for r in R.remapped_pairs(p, c, places=2).collect()} == {1: 792, 2: 5567}
