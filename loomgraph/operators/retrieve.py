@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -162,11 +162,36 @@ def recall_mrr(ranks: DataFrame, at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
 def remapped_pairs(pairs: DataFrame, current: DataFrame, places: int = 9) -> DataFrame:
     """Pairs whose recorded id is stale get the id with the same (lang, title) whose similarity is closest to the recorded one.
 
-    Distances are compared after rounding to `places` decimals, half away from zero, so the noise of a subtraction decides nothing; ties go to the smaller id.
+    Distances are compared after rounding to `places` decimals, half away from zero, so the noise of a subtraction decides nothing; ties go to the smaller id. Infinite, NaN and
+    null similarities come after the others, in this order.
+
+    A cell holds the similarities of a title that agree to `places` decimals. The closest lies in the recorded value's own cell, in the nearest that are taken on either
+    side, or, where it rounds alike, in those behind them: a recorded value meets the distinct similarities of five cells, not all of its title.
     """
+    title = ["lang", "title"]
+
+    def cell(x: Column) -> Column:
+        """Null for what is no finite number."""
+        return F.when(F.abs(x) < math.inf, F.floor(F.greatest(F.least(x * float(10**places), F.lit(9e18)), F.lit(-9e18))))
+
+    known = current.select(*title, F.col("sim").cast("double").alias("sim"), "id").groupBy(*title, "sim").agg(F.min("id").alias("id")).withColumn("cell", cell(F.col("sim")))
+    asked = pairs.select(*title, F.col("recorded").cast("double").alias("recorded")).distinct().withColumn("cell", cell(F.col("recorded")))
+    cells = known.select(*title, "cell", F.col("cell").alias("taken")).unionByName(asked.select(*title, "cell", F.lit(None).cast("long").alias("taken")))
+    cells = cells.where("cell IS NOT NULL").groupBy(*title, "cell").agg(F.max("taken").alias("taken"))
+    near = lambda order: F.last("taken", ignorenulls=True).over(Window.partitionBy(*title).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumns({"below": near(F.asc("cell")), "above": near(F.desc("cell"))})
+    look = F.array("taken", "below", F.col("below") - 1, "above", F.col("above") + 1)
+    looked = asked.join(cells, [*title, "cell"], "left").select(*title, "recorded", F.array_distinct(F.array_compact(look)).alias("cells"))
+    found = looked.select(*title, "recorded", F.explode("cells").alias("cell")).join(known, [*title, "cell"]).drop("cell")
+    # what has no number to compare: of each kind of similarity, all numbers being one kind, the smallest id
+    kinds = known.groupBy(*title, F.when(F.col("cell").isNull(), F.col("sim")).alias("odd"), F.col("cell").isNull().alias("is_odd")).agg(F.min(F.struct("id", "sim")).alias("k"))
+    other = looked.where(F.size("cells") == 0).drop("cells").join(kinds.select(*title, "k.id", "k.sim"), title)
     far = F.round(F.abs(F.col("sim") - F.col("recorded")) * float(10**places))
-    near = F.min(F.struct(far.isNull().alias("none"), far.alias("far"), "id"))
-    return pairs.join(current, ["lang", "title"]).groupBy("pair").agg(near["id"].alias("id"))
+    found = found.select(*title, "recorded", "id", "sim").unionByName(other.select(*title, "recorded", "id", "sim"))
+    best = found.groupBy(*title, "recorded").agg(F.min(F.struct(far.isNull().alias("none"), far.alias("far"), "id")).alias("best"))
+    mine, theirs = pairs.select("pair", *title, F.col("recorded").cast("double").alias("recorded")).alias("p"), best.alias("b")
+    on = [F.col(f"p.{c}") == F.col(f"b.{c}") for c in title] + [F.col("p.recorded").eqNullSafe(F.col("b.recorded"))]
+    return mine.join(theirs, on).groupBy("p.pair").agg(F.min("b.best")["id"].alias("id"))
 
 
 @dataclass(frozen=True)

@@ -365,3 +365,38 @@ def test_remapped_pairs_rounds_distances(spark):
     p = spark.createDataFrame([(1, "en", "t", 3179.79), (2, "en", "t", 2819.34), (3, "en", "none", 1.0)], "pair long, lang string, title string, recorded double")
     c = spark.createDataFrame([(792, "en", "t", 3203.26), (5098, "en", "t", 3156.32), (9218, "en", "t", 2846.31), (5567, "en", "t", 2792.37), (1, "bn", "t", 3179.79)], "id long, lang string, title string, sim double")
     assert {r.pair: r.id for r in R.remapped_pairs(p, c, places=2).collect()} == {1: 792, 2: 5567}
+
+
+def test_remapped_pairs_compares_near_cells_only(spark):
+    """As brute force, with odd values and repeated pairs; no join gives more than a few rows a pair, though all share one title."""
+    rng = np.random.default_rng(4)
+    odd = [math.inf, -math.inf, math.nan, None]
+    draw = lambda n: [float(round(x, int(k))) for x, k in zip(rng.normal(size=n) * 30, rng.integers(1, 5, n))] + odd
+    cur = [(int(i), "t", x) for i, x in zip(rng.permutation(404), draw(400))] + [(1000 + i, "odd", x) for i, x in enumerate(odd)] + [(2000 + i, f"only{i}", x) for i, x in enumerate(odd)]
+    old = [(i % 1800, name, x) for i, (name, x) in enumerate([("t", x) for x in draw(2000)] + [(name, x) for name in ("odd", "only0", "only2", "only3", "gone") for x in [1.0, *odd]])]
+
+    def far(s, r):
+        x = None if s is None or r is None else abs(s - r) * 100
+        return (x is None, x is not None and x != x, 0 if x is None or x != x else x if x == math.inf else math.floor(x) + (x - math.floor(x) >= 0.5))
+
+    want = {}
+    for pair, name, r in old:
+        for i, title, s in cur:
+            if title == name:
+                want[pair] = min(want.get(pair, (True, True, math.inf, math.inf)), (*far(s, r), i))
+    p = spark.createDataFrame([(a, "en", b, c) for a, b, c in old], "pair long, lang string, title string, recorded double")
+    c = spark.createDataFrame([(a, "en", b, c) for a, b, c in cur], "id long, lang string, title string, sim double")
+    got = R.remapped_pairs(p, c, places=2)
+    assert {r.pair: r.id for r in got.collect()} == {k: v[-1] for k, v in want.items()}
+
+    def most(node):
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        kids += [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else []
+        own = node.metrics().get("numOutputRows")
+        joins = "Join" in node.nodeName() and own.isDefined()
+        return max([own.get().value() if joins else 0, *map(most, kids)])
+
+    plan = got._jdf.queryExecution().executedPlan()
+    got._jdf.collectToPython()
+    plan = got._jdf.queryExecution().executedPlan()
+    assert 0 < most(plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan) < 15 * len(old)
