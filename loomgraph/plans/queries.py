@@ -364,8 +364,10 @@ def path_b_hits(spark, d):
     v = vectors(spark, d)
     anchors = V.top_k(v, first_vector(spark, d), DEFAULTS.k_concepts).select(F.col("id").alias("concept"), "score")
     # a search reads built edges; here those of the anchors alone are worked out, which is all it needs of them
-    asked = v.join(F.broadcast(anchors), F.col("id") == F.col("concept")).select(F.col("concept").alias("query"), "vec")  # k_concepts rows
-    e = V.nearest_to(v, asked, DEFAULTS.hops + 1).where((F.col("id") != F.col("query")) & (F.col("score") >= 0.30)).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"))
+    # edges are cosines, and stored vectors have a length of one only as far as floats go
+    u = v.select("id", V.l2_normalised(F.col("vec")).alias("vec"))
+    asked = u.join(F.broadcast(anchors), F.col("id") == F.col("concept")).select(F.col("concept").alias("query"), "vec")  # k_concepts rows
+    e = V.nearest_to(u, asked, DEFAULTS.hops + 1).where((F.col("id") != F.col("query")) & (F.col("score") >= 0.30)).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"))
     pc = v.select(F.col("id").alias("paragraph"), F.col("id").alias("concept"), F.lit(1.0).alias("weight"))
     return R.concept_paragraphs(anchors, e, pc, DEFAULTS)
 

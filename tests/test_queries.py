@@ -48,3 +48,13 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 8 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_path_b_edges_are_cosines(spark, tmp_path):
+    """Vectors of any length: anchors go by inner product, their edges by cosine."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT vec_id, label, list_transform(embedding, lambda x: (x * (1 + vec_id % 5))::FLOAT) AS embedding FROM '{D}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet'")
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = QUERIES["path_b"](spark, str(tmp_path)).collect()
+    want = c.execute(ORACLES["path_b"]).fetchall()
+    assert sorted((r.paragraph, round(r.score, 5)) for r in got) == sorted((p, round(s, 5)) for p, s in want)
