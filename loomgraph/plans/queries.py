@@ -330,9 +330,8 @@ def centroid_class(spark, d):
 
 @query()
 def merge_survivors(spark, d):
-    pairs = V.similar_pairs(vectors(spark, d), 0.40)
     concepts = vectors(spark, d).select("id", F.concat(F.lit("vector-"), F.col("id").cast("string")).alias("label"), F.lit(1).alias("n_mentions"))
-    return V.survivors(V.merge_groups(G.components(pairs.select("a", "b")), pairs), concepts)
+    return V.survivors(V.duplicate_groups(vectors(spark, d), 0.40), concepts)
 
 
 # retrieval

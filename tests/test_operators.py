@@ -400,3 +400,20 @@ def test_remapped_pairs_compares_near_cells_only(spark):
     got._jdf.collectToPython()
     plan = got._jdf.queryExecution().executedPlan()
     assert 0 < most(plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan) < 15 * len(old)
+
+
+def test_duplicate_groups_without_pairs(spark):
+    """The groups of merge_groups in blocks of any size: chains, copies, vectors of all lengths, null and zero ones."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6))
+    x[100:140] = x[7]
+    x[150:160] = 0
+    v = spark.createDataFrame([(int(i) * 3, r) for i, r in zip(rng.permutation(300), (x * rng.uniform(0.1, 9, (300, 1))).tolist())], "id long, vec array<double>")
+    pairs = V.similar_pairs(v, 0.85)
+    want = {(r.leader, r.member) for r in V.merge_groups(G.components(pairs.select("a", "b")), pairs).collect()}
+    assert len({a for a, _ in want}) > 20
+    for block in (1 << 16, 37):
+        assert {(r.leader, r.member) for r in V.duplicate_groups(v, 0.85, block=block).collect()} == want
+    holed = v.unionByName(spark.createDataFrame([(1, None)], v.schema))
+    assert {(r.leader, r.member) for r in V.duplicate_groups(holed, 0.85).collect()} == want
+    assert V.duplicate_groups(v.limit(0), 0.85).count() == 0 and V.duplicate_groups(v.limit(1), 0.85).count() == 0
