@@ -303,6 +303,35 @@ def test_lists_in_blocks_reach_the_same(spark):
     assert halves and all(r.hi % 2 != r.lo % 2 for r in halves)
 
 
+def test_lists_are_count_filtered(spark):
+    """Links are the pairs of a list that share enough of the 32 positional bytes and differ in few enough bits; within 20 bits none that shares a list is lost."""
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 256, (60, 32), np.uint8)
+    prints = [*base]
+    for x in base:
+        # one bit of each byte but `shared`, two of which are in one half of the first word
+        y = x ^ (1 << rng.integers(0, 8, 32)).astype(np.uint8)
+        kept = np.r_[0, 2, rng.permutation(np.arange(4, 32))[: rng.integers(0, 6)]]
+        y[kept] = x[kept]
+        prints.append(y)
+        z = x.copy()
+        z[rng.permutation(32)[:9]] ^= np.uint8(3)
+        prints.append(z)
+    prints = np.array(prints)
+    xors = prints[:, None] ^ prints[None]
+    shared, bits = (xors == 0).sum(axis=2), np.bitwise_count(xors).sum(axis=2)
+    half = (xors == 0).reshape(len(prints), len(prints), 8, 4).sum(axis=3) >= 2
+    rows = [(i, i, *map(int, f)) for i, f in enumerate(prints.view(np.int64))]
+    classes = spark.createDataFrame(rows, "node long, group long, f0 long, f1 long, f2 long, f3 long")
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i)]
+    want = {(i, j, int(bits[i, j])) for i, j in pairs if half[i, j].any() and shared[i, j] >= 4 and bits[i, j] <= 54}
+    assert any(shared[i, j] < 4 and half[i, j].any() and bits[i, j] <= 54 for i, j in pairs)
+    assert {(r.hi, r.lo, r.bits) for r in similar.candidates(classes, len(prints)).collect()} == want
+    close = {(i, j, int(bits[i, j])) for i, j in pairs if half[i, j, :2].any() and bits[i, j] <= 20}
+    assert len(close) > 40
+    assert {(r.hi, r.lo, r.bits) for r in similar.candidates(classes, len(prints), words=1, far=20).collect()} == close
+
+
 def test_pipeline_run(spark):
     """run() is the stages one after another, on a table without rows too."""
     import corpus_pipeline as p
